@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import discard, staged, whole
 from nearfield.llm.tokens import bpe
 
-SCALE_BITS, LANES, BLOCK_TOKENS = 20, 512, 1 << 17
+SCALE_BITS, LANES, BLOCK_TOKENS = 20, 2048, 1 << 19
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -274,10 +274,12 @@ def read_tokens(files: TokenFiles) -> DataFrame:
         starts.append((row["file_no"], before))
         before += row["n"]
     bases = F.broadcast(spark.createDataFrame(starts, "file_no int, base long"))
-    rows = files.blocks.mapInArrow(_decoded_rows(spark.sparkContext.broadcast(files.freq)), "file_no int, doc_no long, doc_piece int, doc_id long, start long, n long, crc long")
-    one = rows.where("doc_piece < 0").select("file_no", "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    decode = _decoded_rows(spark.sparkContext.broadcast(files.freq))
+    kinds = "file_no int, doc_no long, doc_piece int, doc_id long, start long, n long, crc long"
+    one = files.blocks.where("doc_piece < 0").mapInArrow(decode, kinds).select("file_no", "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    rows = files.blocks.where("doc_piece >= 0").mapInArrow(decode, kinds)
     crc = F.udf(_joined, "long", useArrow=False)
-    parts = rows.where("doc_piece >= 0").groupBy("file_no", "doc_no").agg(
+    parts = rows.groupBy("file_no", "doc_no").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("doc_piece", "n", "crc")).alias("parts")
     )
     many = parts.select("file_no", "doc_id", "start", "n_tokens", crc("parts").alias("ids_crc32"))

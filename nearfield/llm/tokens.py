@@ -17,11 +17,12 @@ _BREAK = re.compile(r"(?<=\S) ")
 #: Runs that the pre-tokenizer keeps whole. Letters up to U+00FF only: their class is the same in every Unicode version.
 _RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 #: Entries in each generation of a cache, and the longest piece that is remembered.
-CACHE_WORDS, CACHE_CHARS = 250_000, 40
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 and up.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_ALPHABET = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
 
 
 class _Ageing:
@@ -47,29 +48,41 @@ class WordCachedBPE:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        #: words: ids of a space and the key; units: ids of the key, or behind a NUL of the library's form of it.
         self.words, self.units = _Ageing(), _Ageing()
 
+    def _ids(self, form: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+
     def _unit(self, unit: str) -> bytes:
-        """unit: a run as it is in the text, or behind a NUL the library's form of it."""
-        got = self.units.old.get(unit)
+        got = self.units.now.get(unit) or self.units.old.get(unit)
         if got is None:
-            form = unit[1:] if unit[:1] == "\0" else unit.encode().decode("latin-1").translate(_ALPHABET)
-            got = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
-        return self.units.put(unit, got) if len(unit) <= CACHE_CHARS else got
+            got = self._ids(unit[1:] if unit[:1] == "\0" else "".join([_ALPHABET[b] for b in unit.encode()]))
+            if len(unit) <= CACHE_CHARS:
+                self.units.put(unit, got)
+        return got
 
     def _piece(self, piece: str) -> bytes:
-        known, lead = self.units.now, piece[:1] == " "
-        runs = _RUN.findall(piece, lead)
-        if runs and len("".join(runs)) == len(piece) - lead and runs[0] != "\n" and "\n\n" not in piece:
-            if lead:
-                runs[0] = " " + runs[0]
-        else:
+        """A text's first piece, or one that the short way below can't take."""
+        runs = _RUN.findall(piece)
+        if len("".join(runs)) != len(piece) or "\n\n" in piece:
             runs = ["\0" + u for u, _ in self.pre.pre_tokenize_str(piece)]
-        return b"".join([known.get(u) or self._unit(u) for u in runs])
+        return b"".join([self._unit(u) for u in runs])
 
     def _word(self, word: str) -> bytes:
-        got = self.words.old.get(word) or self._piece(f" {word}")
-        return self.words.put(word, got) if len(word) <= CACHE_CHARS else got
+        """Ids of a space and word; the first run takes the space."""
+        words = self.words
+        got = words.old.get(word)
+        if got is None:
+            runs = _RUN.findall(word)
+            if len(runs) == 1 and len(runs[0]) == len(word) and word != "\n":
+                got = self._ids("Ġ" + (word if word.isascii() else "".join([_ALPHABET[b] for b in word.encode()])))
+            elif runs and len("".join(runs)) == len(word) and runs[0] != "\n" and "\n\n" not in word:
+                first = runs[0]
+                got = (words.now.get(first) or self._word(first)) + b"".join([self._unit(u) for u in runs[1:]])
+            else:
+                got = self._piece(f" {word}")
+        return words.put(word, got) if len(word) <= CACHE_CHARS else got
 
     def encode(self, text: str) -> bytes:
         parts = _BREAK.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
