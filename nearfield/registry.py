@@ -1,15 +1,332 @@
-"""Registered queries of the vector engine and their SQL."""
+"""Registered queries of the vector engine and their SQL.
+
+Every query runs over the whole of `embeddings`; the query vectors are a stated set (vec_id < 10). Trained parts are
+replaced by fixed rules (the first 16 rows as centroids or codebooks), so that SQL can check the whole search path.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import vectors as V
+from nearfield.functions.metrics import NAMES, descending
+from nearfield.operators import binary, cluster, codecs, evaluate, ivf, search, selectors, stats, transforms
+from nearfield.sources.tables import embeddings
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: Where a metric needs other vectors than the unit ones: what the elements are, in Spark and in SQL.
+_ABS = {"jensenshannon", "jaccard"}
+#: SQL of one element's term, of x and y.
+_TERM = {
+    "l2": "(x-y)*(x-y)", "ip": "x*y", "l1": "abs(x-y)", "linf": "abs(x-y)", "lp": "pow(abs(x-y),3)", "canberra": "abs(x-y)/(abs(x)+abs(y))",
+    "jensenshannon": "0.5::DOUBLE*(-x*ln((x+y)/2/x)-y*ln((x+y)/2/y))", "nan_l2": "(x-y)*(x-y)",
+    "gower": "CASE WHEN x>=0 AND y>=0 THEN abs(x-y) WHEN x<0 AND y<0 THEN (x<>y)::INT::DOUBLE ELSE 'nan'::DOUBLE END",
+}
+
+
+def _score_sql(metric: str, a: str = "q.v", b: str = "b.v", d: int = 64) -> str:
+    """SQL of the metric of two double lists."""
+
+    def total(term: str, f: str = "list_sum") -> str:
+        return f"{f}(list_transform(range(1,{d + 1}), lambda i: ({_terms(term, a, b)})))"
+
+    if metric == "linf":
+        return total(_TERM[metric], "list_max")
+    if metric == "braycurtis":
+        return f"{total('abs(x-y)')}/{total('abs(x+y)')}"
+    if metric == "jaccard":
+        return f"{total('least(x,y)')}/{total('greatest(x,y)')}"
+    if metric == "cosine":
+        return f"{total('x*y')}/(sqrt({total('x*x')})*sqrt({total('y*y')}))"
+    if metric == "gower":
+        return f"{total(_TERM[metric])}/{d}"
+    return total(_TERM[metric])
+
+
+def _terms(term: str, a: str, b: str) -> str:
+    out, names = "", {"x": f"{a}[i]", "y": f"{b}[i]"}
+    for k, c in enumerate(term):
+        alone = not (term[k - 1 : k].isalpha() and k) and not term[k + 1 : k + 2].isalpha()
+        out += names[c] if c in names and alone else c
+    return out
+
+
+def _vec_sql(metric: str = "") -> str:
+    if metric in _ABS:
+        return "list_transform(embedding, lambda e: abs(e::DOUBLE))"
+    if metric == "gower":
+        return "list_transform(range(1,65), lambda i: CASE WHEN i <= 32 THEN least(1.0::DOUBLE, abs(embedding[i]::DOUBLE)) ELSE -(1.0::DOUBLE+label) END)"
+    return "list_transform(embedding, lambda e: e::DOUBLE * (1 + label))"
+
+
+def _base_sql(metric: str = "") -> str:
+    return f"b AS (SELECT vec_id AS id, label, {_vec_sql(metric)} AS v FROM embeddings), q AS (SELECT id AS qid, v FROM b WHERE id < 10)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, metric: str = "") -> DataFrame:
+    """id, vec, label; not of unit length, so that metrics order rows differently."""
+    rows = embeddings(spark, sf_dir)
+    if metric in _ABS:
+        v = F.transform("vec", lambda x: F.abs(x.cast("double")))
+    elif metric == "gower":
+        v = F.transform("vec", lambda x, i: F.when(i < 32, F.least(F.lit(1.0), F.abs(x.cast("double")))).otherwise(-(F.lit(1.0) + F.col("label"))))
+    else:
+        v = F.transform("vec", lambda x: x.cast("double") * (1 + F.col("label")))
+    return rows.select("id", v.alias("vec"), "label")
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.where("id < 10")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _knn_sql(metric: str, k: int, where: str = "true") -> str:
+    order = "DESC" if descending(metric) else "ASC"
+    return (
+        f"WITH {_base_sql(metric)}, s AS (SELECT qid, id, {_score_sql(metric)} AS dist FROM q, b WHERE {where}), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist {order}, id) - 1 AS rank FROM s WHERE NOT isnan(dist)) "
+        f"SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist FROM r WHERE rank < {k}"
+    )
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def _knn(metric: str, k: int = 10, arg: float = 3.0, where=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _vectors(spark, sf_dir, metric)
+        return _rounded(search.knn_join(_asked(rows), rows, k, metric, arg, None if where is None else where()), "dist")
+
+    return run
+
+
+for _m in NAMES:
+    _add(f"knn_{_m}", _knn(_m), _knn_sql(_m, 10))
+
+_SELECTORS = {
+    "range": (lambda: selectors.id_range(30, 80), "id >= 30 AND id < 80"),
+    "array": (lambda: selectors.id_in([3, 5, 70, 199, 240]), "id IN (3, 5, 70, 199, 240)"),
+    "bitmap": (lambda: selectors.id_bitmap(bytes([0b10100101] * 20)), "id < 160 AND id % 8 IN (0, 2, 5, 7)"),
+    "not": (lambda: selectors.negated(selectors.id_range(0, 400)), "NOT id < 400"),
+    "and": (lambda: selectors.every(F.col("id") % 3 == 0, F.col("label").isin(1, 2)), "id % 3 = 0 AND label IN (1, 2)"),
+    "or": (lambda: selectors.some(F.col("id") % 7 == 0, F.col("label") == 4), "id % 7 = 0 OR label = 4"),
+    "xor": (lambda: selectors.either(F.col("id") % 2 == 0, F.col("id") % 3 == 0), "(id % 2 = 0) <> (id % 3 = 0)"),
+}
+for _n, (_p, _s) in _SELECTORS.items():
+    _add(f"knn_where_{_n}", _knn("l2", where=_p), _knn_sql("l2", 10, _s))
+
+
+def _on_rows(f, metric: str = ""):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(_vectors(spark, sf_dir, metric))
+
+    return run
+
+
+def _with(sql: str, metric: str = "") -> str:
+    return f"WITH {_base_sql(metric)} {sql}"
+
+
+for _m, _r in (("l2", 12.3456), ("ip", 3.2109)):
+    _add(
+        f"range_{_m}", _on_rows(lambda r, m=_m, x=_r: _rounded(search.range_join(_asked(r), r, x, m), "dist")),
+        _with(f"SELECT qid, id, round({_score_sql(_m)}, 6) AS dist FROM q, b WHERE {_score_sql(_m)} {'>' if _m == 'ip' else '<'} {_r}"),
+    )
+_add("pairwise_l1", _on_rows(lambda r: _rounded(search.pairwise(_asked(r), r, "l1"), "dist")), _with(f"SELECT qid, id, round({_score_sql('l1')}, 6) AS dist FROM q, b"))
+_add("assign_l2", _on_rows(lambda r: search.assign(r, r.where("id < 16"))), _with(f"SELECT x.id AS qid, arg_min(b.id, struct_pack(d := {_score_sql('l2', 'x.v')}, i := b.id)) AS id FROM b x, b WHERE b.id < 16 GROUP BY 1"))
+_add(
+    "candidates_l2", _on_rows(lambda r: _rounded(search.candidate_join(_asked(r).select(F.col("id").alias("qid")).join(r.where("id % 5 = 0").select("id")), _asked(r), r, 5), "dist")),
+    _knn_sql("l2", 5, "id % 5 = 0"),
+)
+_add(
+    "pair_scores_ip", _on_rows(lambda r: _rounded(search.pair_scores(r.select((F.col("id") % 10).alias("qid"), "id"), _asked(r), r, "ip"), "dist")),
+    _with(f"SELECT qid, id, round({_score_sql('ip')}, 6) AS dist FROM q, b WHERE id % 10 = qid"),
+)
+_add(
+    "sharded_l2", _on_rows(lambda r: _rounded(search.merged([search.knn_join(_asked(r), r, 10, where=F.col("id") % 3 == i) for i in range(3)], 10), "dist")), _knn_sql("l2", 10)
+)
+_add(
+    "padded_l2", _on_rows(lambda r: _rounded(search.padded(search.knn_join(_asked(r), r, 10, where=F.col("id") < 6), _asked(r), 10), "dist")),
+    f"WITH h AS ({_knn_sql('l2', 10, 'id < 6')}), s AS (SELECT vec_id AS qid, unnest(range(10))::INT AS rank FROM embeddings WHERE vec_id < 10) "
+    "SELECT qid, rank, coalesce(id, -1) AS id, round(coalesce(dist, 3.4028234663852886e38), 6) AS dist FROM s LEFT JOIN h USING (qid, rank)",
+)
+_add(
+    "diverse_l2", _on_rows(lambda r: _rounded(search.diverse(search.pairwise(_asked(r), r), r.select("id", F.col("label").alias("grp")), 10, 2), "dist")),
+    _with(
+        f", s AS (SELECT qid, id, label AS grp, {_score_sql('l2')} AS dist FROM q, b), g AS (SELECT *, row_number() OVER (PARTITION BY qid, grp ORDER BY dist, id) AS n FROM s), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM g WHERE n <= 2) SELECT qid, rank::INT AS rank, id, grp, round(dist, 6) AS dist FROM r WHERE rank < 10"
+    ),
+)
+_add(
+    "budgeted_range", _on_rows(lambda r: _rounded(search.budgeted(search.range_join(_asked(r), r, 30.0), 50), "dist")),
+    _with(
+        f", s AS (SELECT qid, id, {_score_sql('l2')} AS dist FROM q, b), e AS (SELECT dist AS edge FROM s WHERE dist < 30 ORDER BY dist LIMIT 1 OFFSET 50) "
+        "SELECT qid, id, round(dist, 6) AS dist FROM s WHERE dist < 30 AND dist < coalesce((SELECT edge FROM e), 30)"
+    ),
+)
+_add("similarity_graph", _on_rows(lambda r: _rounded(search.similarity_graph(r, 3), "dist")), _with(
+    f", s AS (SELECT x.id AS src, b.id AS dst, {_score_sql('l2', 'x.v')} AS dist FROM b x, b WHERE x.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS rank FROM s) "
+    "SELECT src, rank::INT AS rank, dst, round(dist, 6) AS dist FROM r WHERE rank < 3"
+))
+_add("kmin_of_rows", _on_rows(lambda r: r.select("id", F.posexplode(V.k_smallest(F.col("vec"), 3)).alias("rank", "x")).select("id", "rank", F.round("x.value", 6).alias("value"), "x.place")), _with(
+    ", e AS (SELECT id, unnest(v) AS value, unnest(range(64)) AS place FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY value, place) - 1 AS rank FROM e) "
+    "SELECT id, rank::INT AS rank, round(value, 6) AS value, place::INT AS place FROM r WHERE rank < 3"
+))
+_add("norms", _on_rows(lambda r: r.select("id", F.round(V.norm2(F.col("vec")), 6).alias("norm2"))), _with("SELECT id, round(list_sum(list_transform(v, lambda x: x*x)), 6) AS norm2 FROM b"))
+_add("normalized", _on_rows(lambda r: r.select("id", F.posexplode(V.normalized(F.col("vec"))).alias("dim", "x")).withColumn("x", F.round("x", 6))), _with(
+    "SELECT id, unnest(range(64))::INT AS dim, round(unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x*x))), 6) AS x FROM b"
+))
+_add("centered", _on_rows(lambda r: transforms.Center.fit(r).apply(r).select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))), _with(
+    ", e AS (SELECT id, unnest(range(64))::INT AS dim, unnest(v) AS x FROM b) SELECT id, dim, round(x - avg(x) OVER (PARTITION BY dim), 6) AS x FROM e"
+))
+_add("remapped", _on_rows(lambda r: transforms.Remap((5, -1, 0), 64).apply(r).select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))), _with(
+    "SELECT id, unnest([0, 1, 2])::INT AS dim, round(unnest([v[6], 0.0::DOUBLE, v[1]]), 6) AS x FROM b"
+))
+_add("matrix_stats", _on_rows(lambda r: _rounded(stats.per_dimension(r), "min", "max", "mean", "std")), _with(
+    ", e AS (SELECT unnest(range(64))::INT AS dim, unnest(v) AS x FROM b) SELECT dim, count(*) AS n, 0::BIGINT AS n_nan, count(*) FILTER (x = 0) AS n_zero, round(min(x), 6) AS min, "
+    "round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM e GROUP BY dim"
+))
+_add("imbalance", _on_rows(lambda r: _rounded(stats.imbalance(r, "label"), "imbalance")), "WITH h AS (SELECT count(*)::DOUBLE AS h FROM embeddings GROUP BY label) SELECT round(count(*) * sum(h*h) / (sum(h)*sum(h)), 6) AS imbalance FROM h")
+_add("bit_histogram", _on_rows(stats.bit_histogram), _with("SELECT unnest(range(64))::INT AS bit, unnest(list_transform(v, lambda x: (x >= 0)::INT)) AS b FROM b").replace("SELECT unnest(range(64))", ", e AS (SELECT unnest(range(64))", 1) + ") SELECT bit, sum(b)::BIGINT AS n FROM e GROUP BY bit")
+_add("label_histogram", _on_rows(lambda r: stats.histogram(r, "label", 5)), "SELECT label AS bin, count(*) AS n FROM embeddings WHERE label BETWEEN 0 AND 4 GROUP BY 1")
+_DOUBLED = "d AS (SELECT id, v FROM b UNION ALL SELECT id + 100000, v FROM b WHERE id < 50)"
+_add("distinct_vectors", _on_rows(lambda r: stats.distinct_vectors(r.select("id", "vec").union(r.where("id < 50").select(F.col("id") + 100000, "vec"))).select("id", "copies")), _with(f", {_DOUBLED} SELECT min(id) AS id, count(*) AS copies FROM d GROUP BY v"))
+
+_HAM = "list_sum(list_transform(range(1,65), lambda i: ((q.v[i] >= 0) <> (b.v[i] >= 0))::INT))::INT"
+
+
+def _codes(r: DataFrame) -> DataFrame:
+    return binary.codes(r, 64)
+
+
+_add("hamming_knn", _on_rows(lambda r: binary.hamming_knn(_codes(_asked(r)), _codes(r), 10)), _with(
+    f", s AS (SELECT qid, id, {_HAM} AS dist FROM q, b), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM s) SELECT qid, rank::INT AS rank, id, dist FROM r WHERE rank < 10"
+))
+_add("hamming_range", _on_rows(lambda r: binary.hamming_range(_codes(_asked(r)), _codes(r), 26)), _with(f"SELECT qid, id, {_HAM} AS dist FROM q, b WHERE {_HAM} < 26"))
+_add("hamming_counts", _on_rows(lambda r: binary.hamming_counts(_codes(_asked(r)), _codes(r), 26)), _with(f"SELECT qid, count(*) AS n FROM q, b WHERE {_HAM} <= 26 GROUP BY qid"))
+_add("hash_buckets", _on_rows(lambda r: binary.bucket_range(_codes(_asked(r)), _codes(r), 30, 8, 2)), _with(
+    f"SELECT qid, id, {_HAM} AS dist FROM q, b WHERE {_HAM} < 30 AND {_HAM.replace('range(1,65)', 'range(1,9)')} <= 2"
+))
+_add("multi_hash", _on_rows(lambda r: binary.bucket_range(_codes(_asked(r)), _codes(r), 30, 8, 1, (0, 8))), _with(
+    f"SELECT qid, id, {_HAM} AS dist FROM q, b WHERE {_HAM} < 30 AND ({_HAM.replace('range(1,65)', 'range(1,9)')} <= 1 OR {_HAM.replace('range(1,65)', 'range(9,17)')} <= 1)"
+))
+
+for _b in (4, 6, 8):
+    _top = (1 << _b) - 1
+    _add(
+        f"sq{_b}_codes",
+        _on_rows(lambda r, b=_b: (lambda s: r.select("id", F.posexplode(s.encode(F.col("vec"))).alias("dim", "code")))(codecs.ScalarQuantizer.fit(r, b))),
+        _with(
+            f", e AS (SELECT id, unnest(range(64))::INT AS dim, unnest(v) AS x FROM b), m AS (SELECT *, min(x) OVER (PARTITION BY dim) AS a, max(x) OVER (PARTITION BY dim) AS z FROM e) "
+            f"SELECT id, dim, floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (x - a) / (z - a))) * {_top})::INT AS code FROM m"
+        ),
+    )
+_PQ = (
+    ", k AS (SELECT id AS c, v FROM b WHERE id < 16), s AS (SELECT b.id, m.m, k.c, list_sum(list_transform(range(1,9), lambda i: (b.v[m.m*8+i]-k.v[m.m*8+i])*(b.v[m.m*8+i]-k.v[m.m*8+i]))) AS d "
+    "FROM b, k, (SELECT unnest(range(8)) AS m) m), p AS (SELECT id, m, arg_min(c, struct_pack(d := d, c := c)) AS code FROM s GROUP BY id, m)"
+)
+
+
+def _pq(r: DataFrame) -> tuple[codecs.ProductQuantizer, DataFrame]:
+    pq = codecs.ProductQuantizer.from_rows(r.where("id < 16"), 8, 16)
+    return pq, r.select("id", pq.encode(F.col("vec")).alias("code"))
+
+
+_add("pq_codes", _on_rows(lambda r: _pq(r)[1].select("id", F.posexplode("code").alias("m", "code"))), _with(f"{_PQ} SELECT id, m::INT AS m, code::INT AS code FROM p"))
+_add(
+    "pq_adc", _on_rows(lambda r: (lambda p: _rounded(p[0].search(_asked(r), p[1], 10), "dist"))(_pq(r))),
+    _with(
+        f"{_PQ}, t AS (SELECT s.id AS qid, s.m, s.c AS code, s.d FROM s WHERE s.id < 10), a AS (SELECT qid, p.id, sum(d) AS dist FROM t JOIN p USING (m, code) GROUP BY qid, p.id), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) - 1 AS rank FROM a) SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist FROM r WHERE rank < 10"
+    ),
+)
+_add("row_minmax_codes", _on_rows(lambda r: r.select("id", F.posexplode(codecs.row_scaled(F.col("vec"))["code"]).alias("dim", "code"))), _with(
+    "SELECT id, unnest(range(64))::INT AS dim, floor((unnest(v) - list_min(v)) / (list_max(v) - list_min(v)) * 255)::INT AS code FROM b"
+))
+
+_IVF = (
+    f", c AS (SELECT id AS list_no, v FROM b WHERE id < 16), a AS (SELECT x.id, x.v, arg_min(b.list_no::INT, struct_pack(d := {_score_sql('l2', 'x.v')}, i := b.list_no)) AS list_no FROM b x, c b GROUP BY x.id, x.v), "
+    f"pr AS (SELECT qid, list_no, row_number() OVER (PARTITION BY qid ORDER BY {_score_sql('l2')}, list_no) - 1 AS rank FROM q, c b), "
+    f"h AS (SELECT pr.qid, b.id, b.list_no, pr.rank AS probe, {_score_sql('l2')} AS dist FROM pr JOIN a b ON b.list_no = pr.list_no JOIN q ON q.qid = pr.qid WHERE pr.rank < 4)"
+)
+_TOP = ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM h WHERE {}) SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist FROM r WHERE rank < 10"
+
+
+def _ivf(r: DataFrame) -> ivf.InvertedFile:
+    return ivf.InvertedFile.build(r.select("id", "vec"), r.where("id < 16").select(F.col("id").cast("int").alias("list_no"), "vec"))
+
+
+def _ivf_search(change):
+    return _on_rows(lambda r: _rounded(change(_ivf(r), r).search(_asked(r), 10, 4), "dist"))
+
+
+_PLACE = "SELECT id, row_number() OVER (ORDER BY list_no, id) - 1 AS p, row_number() OVER (PARTITION BY list_no ORDER BY id) - 1 AS lp, count(*) OVER (PARTITION BY list_no) AS n FROM a"
+for _n, (_f, _s) in {
+    "search": (lambda i, r: i, "true"),
+    "ids_between": (lambda i, r: i.ids_between(100, 300), "id >= 100 AND id < 300"),
+    "ids_modulo": (lambda i, r: i.ids_modulo(3, 1), "id % 3 = 1"),
+    "elements_between": (lambda i, r: i.elements_between(50, 250), f"id IN (SELECT id FROM ({_PLACE}) WHERE p >= 50 AND p < 250)"),
+    "list_share": (lambda i, r: i.list_share(3, 1), f"id IN (SELECT id FROM ({_PLACE}) WHERE lp >= floor(n * 1 / 3) AND lp < floor(n * 2 / 3))"),
+    "lists_between": (lambda i, r: i.lists_between(2, 9), "list_no >= 2 AND list_no < 9"),
+    "remove": (lambda i, r: i.remove(F.col("id") % 4 == 0), "id % 4 <> 0"),
+    "merge": (lambda i, r: i.ids_modulo(2, 0).merge(i.ids_modulo(2, 1)), "true"),
+    "update": (lambda i, r: i.ids_between(0, 200).merge(i.ids_between(200, 10**9)).update(r.where("id < 50").select("id", "vec")), "true"),
+    "long_lists_dropped": (lambda i, r: i.without_long_lists(40), f"id IN (SELECT id FROM ({_PLACE}) WHERE n < 40)"),
+    "capped_lists": (lambda i, r: i.capped(10), f"id IN (SELECT id FROM ({_PLACE}) WHERE lp < 10)"),
+    "shard": (lambda i, r: i.shard(2, 1), "list_no % 2 = 1"),
+}.items():
+    _add(f"ivf_{_n}", _ivf_search(_f), _with(_IVF + _TOP.format(_s)))
+_add("ivf_range", _on_rows(lambda r: _rounded(_ivf(r).range_search(_asked(r), 20.0, 4), "dist")), _with(_IVF + " SELECT qid, id, round(dist, 6) AS dist FROM h WHERE dist < 20"))
+_add("ivf_list_sizes", _on_rows(lambda r: _ivf(r).sizes()), _with(_IVF + " SELECT list_no, count(*) AS size FROM a GROUP BY list_no"))
+_add("ivf_max_codes", _on_rows(lambda r: _rounded(_ivf(r).search_budgeted(_asked(r), 10, 4, 60), "dist")), _with(
+    _IVF + ", o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY probe, id) AS n FROM h)" + _TOP.replace("FROM h", "FROM o").format("n <= 60")
+))
+_add("ivf_residuals", _on_rows(lambda r: _ivf(r).residuals().select("list_no", "id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))), _with(
+    _IVF + " SELECT a.list_no, a.id, unnest(range(64))::INT AS dim, round(unnest(a.v) - unnest(c.v), 6) AS x FROM a JOIN c ON a.list_no = c.list_no"
+))
+
+
+def _truth_and_found(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return search.knn_join(_asked(r), r, 10), _ivf(r).search(_asked(r), 10, 4)
+
+
+_TF = _with(_IVF + f", t AS ({_knn_sql('l2', 10)}), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM h)")
+_add("recall_at_10", _on_rows(lambda r: _rounded(evaluate.recall_at(*_truth_and_found(r), 10), "recall")), f"{_TF} SELECT round(avg(CASE WHEN f.id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS recall FROM t LEFT JOIN f ON f.qid = t.qid AND f.id = t.id AND f.rank < 10 WHERE t.rank = 0")
+_add("intersection_at_10", _on_rows(lambda r: _rounded(evaluate.intersection_at(*_truth_and_found(r), 10), "intersection")), f"{_TF} SELECT round(count(f.id) / 100.0::DOUBLE, 6) AS intersection FROM t LEFT JOIN f ON f.qid = t.qid AND f.id = t.id AND f.rank < 10")
+_add("range_precision_recall", _on_rows(lambda r: _rounded(evaluate.range_scores(search.range_join(_asked(r), r, 20.0), _ivf(r).range_search(_asked(r), 25.0, 4)), "precision", "recall")), _with(
+    _IVF + f", t AS (SELECT qid, id FROM q, b WHERE {_score_sql('l2')} < 20), f AS (SELECT qid, id FROM h WHERE dist < 25), x AS (SELECT count(*) AS c FROM t JOIN f USING (qid, id)) "
+    "SELECT round(c / (SELECT count(*) FROM f)::DOUBLE, 6) AS precision, round(c / (SELECT count(*) FROM t)::DOUBLE, 6) AS recall FROM x"
+))
+
+
+def _lloyd(r: DataFrame) -> DataFrame:
+    first = [x["vec"] for x in r.where("id < 10").orderBy("id").collect()]
+    c, sizes, _ = cluster.step(r, np.array(first))
+    rows = [(i, int(n), d, float(round(x, 6))) for i, (n, v) in enumerate(zip(sizes, c, strict=True)) for d, x in enumerate(v)]
+    return _rounded(r.sparkSession.createDataFrame(rows, "c int, n long, dim int, x double"), "x")
+
+
+_add("kmeans_step", _on_rows(_lloyd), _with(
+    f", a AS (SELECT x.id, x.v, arg_min(b.id, struct_pack(d := {_score_sql('l2', 'x.v')}, i := b.id)) AS c FROM b x, b WHERE b.id < 10 GROUP BY x.id, x.v), "
+    "e AS (SELECT c, unnest(range(64))::INT AS dim, unnest(v) AS x FROM a) SELECT c::INT AS c, count(*) AS n, dim, round(avg(x), 6) AS x FROM e GROUP BY c, dim"
+))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
