@@ -119,7 +119,7 @@ class PieceLattice:
         weight = np.full((self.longest, total), -np.inf)  # of the piece of length l + 1 that starts here
         ids = np.full((self.longest, total), 0, np.int32)
         h = np.zeros(total, np.uint64)
-        for n in range(1, self.longest + 1):
+        for n in range(1, min(self.longest, total) + 1):
             last = np.zeros(total, np.uint64)
             last[: total - n + 1] = code[n - 1 :]
             h = h * np.uint64(_B) + last + np.uint64(1)
