@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A table of at most this many (short) rows may be broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
+#: Rows and bytes in an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,6 +56,14 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold what a Python worker gets at a time to BATCH_ROWS rows and BATCH_BYTES bytes (a single longer text aside)
+    for the rest of the session: ten thousand long texts at once, the usual setting, may exceed an executor."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(text, UPPER, UPPER.lower())

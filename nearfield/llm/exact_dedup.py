@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, discard, small, staged, whole
+from nearfield.llm.common import ascii_lower, bounded_batches, discard, small, staged, whole
 
 #: Moduli and bases of the two hashes.
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -80,6 +80,7 @@ def _chunks(text: Column, size: int) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, fp (62 bits), sha (of the normalised text, names it in later joins)."""
+    bounded_batches(docs.sparkSession)
     norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(whole(text_col)).alias("text"))
     norm = norm.withColumn("sha", F.unhex(F.sha2("text", 256)))
     near = norm.where(F.length("text") <= HUGE_CHARS).mapInArrow(_hash_rows, f"doc_id long, sha binary, {_HASHED}")

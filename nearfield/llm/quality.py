@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import small, whole
+from nearfield.llm.common import bounded_batches, small, whole
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -90,6 +90,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Fit on documents that `labels` (id_col, label_col 0/1) names; of several labels of one id, the lowest holds."""
+    bounded_batches(docs.sparkSession)
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__nf_id")).agg(F.min(label_col).alias("y"))
     sample = sample.orderBy(F.xxhash64("__nf_id"), "__nf_id").limit(max_rows)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("__nf_id"), whole().alias("text")).join(F.broadcast(sample), "__nf_id")

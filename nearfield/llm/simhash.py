@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import small, staged, whole
+from nearfield.llm.common import bounded_batches, small, staged, whole
 from nearfield.llm.components import connected_components
 
 #: Posting lists above this size are linked by masks instead of pairs.
@@ -63,6 +63,7 @@ def _print_rows(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     return rows.mapInArrow(_print_rows(words), "doc_id long, fp long")
 
