@@ -27,6 +27,9 @@ from nearfield.llm.tokens import bpe
 #: Pieces that one task packs at a time, and how often leftovers are dealt anew at most.
 PARTITION_PIECES, MAX_ROUNDS = 65_536, 8
 
+#: Words that a worker remembers: fewer than elsewhere, since packing may follow other stages in the same executors.
+CACHE_WORDS = 120_000
+
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """Rows of _PIECE: each document's ids and the end id, the first piece taking what is over a multiple of capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = bpe(tokenizer).encode, int(end_id).to_bytes(4, "little")
+        encode, end = bpe(tokenizer, CACHE_WORDS).encode, int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

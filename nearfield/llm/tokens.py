@@ -28,12 +28,13 @@ _ALPHABET = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in
 class _Ageing:
     """A dict of two generations."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def put(self, key: str, value: bytes) -> bytes:
-        if len(self.now) >= CACHE_WORDS:
+        if len(self.now) >= self.most:
             self.old, self.now = self.now, {}
         self.now[key] = value
         return value
@@ -42,14 +43,14 @@ class _Ageing:
 class WordCachedBPE:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers, equal to Tokenizer.encode(text).ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         #: words: ids of a space and the key; units: ids of the key, or behind a NUL of the library's form of it.
-        self.words, self.units = _Ageing(), _Ageing()
+        self.words, self.units = _Ageing(cache_words), _Ageing(cache_words)
 
     def _ids(self, form: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
@@ -90,14 +91,14 @@ class WordCachedBPE:
         return first + b"".join([known.get(w) or self._word(w) for w in parts[1:]])
 
 
-_LOADED: dict[str, WordCachedBPE] = {}
+_LOADED: dict[tuple[str, int], WordCachedBPE] = {}
 
 
-def bpe(path: str) -> WordCachedBPE:
-    """One for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordCachedBPE(path)
-    return _LOADED[path]
+def bpe(path: str, cache_words: int = CACHE_WORDS) -> WordCachedBPE:
+    """One for each Python worker and cache size."""
+    if (path, cache_words) not in _LOADED:
+        _LOADED[path, cache_words] = WordCachedBPE(path, cache_words)
+    return _LOADED[path, cache_words]
 
 
 def default_path() -> str:
