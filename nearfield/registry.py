@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 from nearfield.functions.metrics import NAMES, descending
-from nearfield.operators import binary, cluster, codecs, evaluate, ivf, search, selectors, stats, transforms
+from nearfield.operators import additive, binary, cluster, codecs, evaluate, graph, ivf, search, selectors, stats, transforms
 from nearfield.sources.tables import embeddings
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,6 +324,23 @@ _add("kmeans_step", _on_rows(_lloyd), _with(
 ))
 
 
+def _sums(r: DataFrame) -> DataFrame:
+    first = np.array([x["vec"] for x in r.where("id < 32").orderBy("id").collect()])
+    coded = additive.AdditiveQuantizer((first.reshape(2, 16, -1),), beam=1).encode(r)
+    return coded.select("id", F.get("code", F.lit(0)).alias("c0"), F.get("code", F.lit(1)).alias("c1"))
+
+
+_add("greedy_sum_codes", _on_rows(_sums), _with(
+    f", a AS (SELECT x.id, x.v, arg_min(b.id, struct_pack(d := {_score_sql('l2', 'x.v')}, i := b.id)) AS c FROM b x, b WHERE b.id < 16 GROUP BY x.id, x.v), "
+    "x AS (SELECT a.id, a.c, list_transform(range(1,65), lambda i: a.v[i]-k.v[i]) AS v FROM a JOIN b k ON k.id = a.c) "
+    f"SELECT x.id, x.c::INT AS c0, (arg_min(b.id, struct_pack(d := {_score_sql('l2', 'x.v')}, i := b.id)) - 16)::INT AS c1 FROM x, b WHERE b.id >= 16 AND b.id < 32 GROUP BY x.id, x.c"
+))
+# Approximate searches: tests hold their recall against exact search, SQL can't follow their walks.
+_add("nn_descent", _on_rows(lambda r: _rounded(graph.nn_descent(r, 8), "dist")))
+for _kind in ("hnsw", "nsg"):
+    _add(f"{_kind}_search", _on_rows(lambda r, kind=_kind: _rounded(graph.GraphIndex.build(r, kind, 16).search(_asked(r), 10, 64), "dist")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
