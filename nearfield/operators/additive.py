@@ -126,13 +126,18 @@ class AdditiveQuantizer:
         return knn_join(queries, self.decode(rows), k, metric)
 
 
-def _through(rows: DataFrame, source: str, out: str, kind: str, f) -> DataFrame:
+_NUMPY = {"int": np.int32, "long": np.int64, "double": np.float64}
+
+
+def _through(rows: DataFrame, source: str, out: str, kind: str, f, whole: bool = False) -> DataFrame:
+    """id, out: f of the source lists as a matrix of doubles (whole: of longs, which doubles can't all hold)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                y = f(_matrix(part.column(source)))
-                flat = pa.array(y.ravel().astype(np.int32 if kind == "int" else np.float64))
+                y = f(np.array(part.column(source).to_pylist(), np.int64) if whole else _matrix(part.column(source)))
+                flat = pa.array(y.ravel().astype(_NUMPY[kind]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), flat)], names=["id", out])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {out} array<{kind}>")

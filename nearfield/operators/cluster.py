@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.search import _matrix
@@ -204,3 +205,67 @@ def kmeans_1d(values: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     edges.append(0)
     edges = edges[::-1]
     return np.array([(s[b] - s[a]) / (b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a]), float(before[n])
+
+
+def shares(sizes: np.ndarray, k: int) -> np.ndarray:
+    """k parts in proportion to the sizes, at least one for each that has rows, none larger than its size."""
+    sizes = np.asarray(sizes, np.int64)
+    out = np.minimum(np.maximum((sizes * k) // max(1, sizes.sum()), sizes > 0), sizes)
+    while out.sum() != k:
+        room = sizes - out if out.sum() < k else np.where(out > 1, 1, 0)
+        if not room.any():
+            break
+        gap = np.where(room > 0, (sizes * k / sizes.sum() - out) * (1 if out.sum() < k else -1), -np.inf)
+        out[int(gap.argmax())] += 1 if out.sum() < k else -1
+    return out
+
+
+def two_level(rows: DataFrame, first: int, k: int, iterations: int = 25, seed: int = 1234, sample_per_centroid: int = 256) -> np.ndarray:
+    """k centroids by k-means into `first` clusters, then within each into a share of k in proportion to its rows.
+
+    The second level fits each cluster on at most sample_per_centroid rows a centroid, those with the smallest seeded
+    hash, so no task holds a whole cluster."""
+    top = kmeans(rows, first, iterations, seed=seed)
+    shared = rows.sparkSession.sparkContext.broadcast(top.centroids)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _assigned(_matrix(batch.column("vec")), shared.value, False)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column("vec")], names=["c", "vec"])
+
+    placed = rows.where("vec is not null").select("vec").mapInArrow(place, f"c int, vec {rows.schema['vec'].dataType.simpleString()}")
+    sizes = np.zeros(first, np.int64)
+    for r in placed.groupBy("c").count().collect():  # a row per cluster
+        sizes[r["c"]] = r["count"]
+    parts = shares(sizes, k)
+    most = F.get(F.array(*(F.lit(int(p) * sample_per_centroid) for p in parts)), F.col("c"))
+    w = Window.partitionBy("c").orderBy(F.xxhash64(F.lit(seed), "vec"))
+    some = placed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= int(parts.max()) * sample_per_centroid).where(F.col("n") <= most).drop("n")
+
+    def split(part: pd.DataFrame) -> pd.DataFrame:
+        from nearfield.operators.additive import lloyd
+
+        c = int(part["c"].iloc[0])
+        found = lloyd(np.array(part["vec"].tolist(), np.float64), int(parts[c]), iterations, np.random.default_rng(seed + c))
+        return pd.DataFrame({"c": c, "place": range(len(found)), "vec": found.tolist()})
+
+    got = some.groupBy("c").applyInPandas(split, "c int, place int, vec array<double>").orderBy("c", "place").collect()  # k rows
+    return np.array([r["vec"] for r in got])
+
+
+def progressive(rows: DataFrame, k: int, stages: int = 10, iterations: int = 10, axes: bool = True, seed: int = 1234) -> np.ndarray:
+    """k-means over a growing number of leading dimensions (after PCA if axes), each stage from the centroids before."""
+    from nearfield.operators.transforms import pca
+
+    d = int(rows.agg(F.max(F.size("vec"))).first()[0])
+    turned = pca(rows, d) if axes else None
+    x = rows if turned is None else turned.apply(rows.select("vec"))
+    c = np.zeros((k, 0))
+    for stage in range(stages):
+        n = int(round(d ** ((stage + 1) / stages)))
+        if n == c.shape[1]:
+            continue
+        cut = x.select(F.slice("vec", 1, n).alias("vec"))
+        start = np.hstack((c, np.zeros((k, n - c.shape[1])))) if c.shape[1] else "random"
+        c = kmeans(cut, k, iterations, seed=seed, init=start).centroids
+    return c if turned is None else (c - turned.b) @ turned.a

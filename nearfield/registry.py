@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 from nearfield.functions.metrics import NAMES, descending
-from nearfield.operators import additive, binary, cluster, codecs, evaluate, graph, ivf, search, selectors, stats, transforms
+from nearfield.operators import additive, binary, cluster, codecs, coded_lists, evaluate, graph, ivf, search, selectors, spectral, sphere, stats, transforms
+from nearfield.plans.index import Index
 from nearfield.sources.tables import embeddings
+from nearfield.streaming import window
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -335,10 +337,91 @@ _add("greedy_sum_codes", _on_rows(_sums), _with(
     "x AS (SELECT a.id, a.c, list_transform(range(1,65), lambda i: a.v[i]-k.v[i]) AS v FROM a JOIN b k ON k.id = a.c) "
     f"SELECT x.id, x.c::INT AS c0, (arg_min(b.id, struct_pack(d := {_score_sql('l2', 'x.v')}, i := b.id)) - 16)::INT AS c1 FROM x, b WHERE b.id >= 16 AND b.id < 32 GROUP BY x.id, x.c"
 ))
+_IVFPQ = (
+    f"{_IVF}, e AS (SELECT a.list_no, a.id, list_transform(range(1,65), lambda i: a.v[i]-c.v[i]) AS v FROM a JOIN c ON a.list_no = c.list_no), k AS (SELECT id AS c, v FROM e WHERE id < 16), "
+    "part AS (SELECT unnest(range(8)) AS m), "
+    "s AS (SELECT e.id, e.list_no, m, k.c, list_sum(list_transform(range(1,9), lambda i: (e.v[m*8+i]-k.v[m*8+i])*(e.v[m*8+i]-k.v[m*8+i]))) AS d FROM e, k, part), "
+    "p AS (SELECT id, list_no, m, arg_min(c, struct_pack(d := d, c := c)) AS code FROM s GROUP BY id, list_no, m), "
+    "qr AS (SELECT pr.qid, pr.list_no, list_transform(range(1,65), lambda i: q.v[i]-c.v[i]) AS v FROM pr JOIN q ON q.qid = pr.qid JOIN c ON c.list_no = pr.list_no WHERE pr.rank < 4), "
+    "t AS (SELECT qid, list_no, m, k.c, list_sum(list_transform(range(1,9), lambda i: (qr.v[m*8+i]-k.v[m*8+i])*(qr.v[m*8+i]-k.v[m*8+i]))) AS d FROM qr, k, part), "
+    "o AS (SELECT qid, list_no, m, arg_min(c, struct_pack(d := d, c := c)) AS own FROM t GROUP BY qid, list_no, m), "
+    "g AS (SELECT t.qid, p.id, sum(t.d) AS dist, sum(bit_count(xor(p.code, o.own)))::INT AS bits FROM t JOIN p ON p.list_no = t.list_no AND p.m = t.m AND p.code = t.c "
+    "JOIN o ON o.qid = t.qid AND o.list_no = t.list_no AND o.m = t.m GROUP BY t.qid, p.id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) - 1 AS rank FROM g WHERE {}) SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist FROM r WHERE rank < 10"
+)
+
+
+def _coded(r: DataFrame) -> coded_lists.CodedLists:
+    file = _ivf(r)
+    return coded_lists.CodedLists.build(file, codecs.ProductQuantizer.from_rows(file.residuals(), 8, 16))
+
+
+for _n, _screen, _s in (("ivf_pq_search", None, "true"), ("ivf_pq_screened", 15, "bits < 15")):
+    _add(_n, _on_rows(lambda r, h=_screen: _rounded(_coded(r).search(_asked(r), 10, 4, h), "dist")), _with(_IVFPQ.format(_s)))
+_add("product_cells", _on_rows(lambda r: _rounded(coded_lists.ProductCells(codecs.ProductQuantizer.from_rows(r.where("id < 16"), 2, 16)).probes(_asked(r), 20), "coarse")), _with(
+    ", k AS (SELECT id AS c, v FROM b WHERE id < 16), s AS (SELECT q.qid, m, k.c, list_sum(list_transform(range(1,33), lambda i: (q.v[m*32+i]-k.v[m*32+i])*(q.v[m*32+i]-k.v[m*32+i]))) AS d "
+    "FROM q, k, (SELECT unnest(range(2)) AS m)), g AS (SELECT x.qid, x.c + 16 * y.c AS list_no, x.d + y.d AS coarse FROM s x JOIN s y ON x.qid = y.qid AND x.m = 0 AND y.m = 1), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coarse, list_no) - 1 AS rank FROM g) SELECT qid, list_no, rank::INT AS rank, round(coarse, 6) AS coarse FROM r WHERE rank < 20"
+))
+_BITS = "((floor(({0}.v[i] - {1}) * 2 / 1.5)::BIGINT % 2 + 2) % 2)"
+for _kind, _t in (("global", "0.0::DOUBLE"), ("centroid", "c.v[i]"), ("centroid_half", "(c.v[i] - 1.5::DOUBLE / 4)")):
+    _add(
+        f"spectral_{_kind}",
+        _on_rows(lambda r, kind=_kind: spectral.SpectralLists.build(_ivf(r), 1.5, kind, 64).search(_asked(r), 10, 4)),
+        _with(
+            _IVF + f", s AS (SELECT pr.qid, a.id, list_sum(list_transform(range(1,65), lambda i: ({_BITS.format('q', _t)} <> {_BITS.format('a', _t)})::INT))::INT AS dist FROM pr JOIN q ON q.qid = pr.qid "
+            "JOIN a ON a.list_no = pr.list_no JOIN c ON c.list_no = pr.list_no WHERE pr.rank < 4), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM s) "
+            "SELECT qid, rank::INT AS rank, id, dist FROM r WHERE rank < 10"
+        ),
+    )
+_add("sign_codes_decoded", _on_rows(lambda r: (lambda s: s.decode(s.encode(r)).select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6)))(sphere.SignMagnitude((0.0,) * 64, 1))), _with(
+    ", e AS (SELECT id, v, list_sum(list_transform(v, lambda x: x*x)) / list_sum(list_transform(v, lambda x: abs(x))) AS f FROM b) "
+    "SELECT id, unnest(range(64))::INT AS dim, round(unnest(list_transform(v, lambda x: CASE WHEN x > 0 THEN f ELSE -f END)), 6) AS x FROM e"
+))
+_add("median_hash_knn", _on_rows(lambda r: (lambda h: binary.hamming_knn(h.encode(_asked(r)), h.encode(r), 10))(codecs.SignHash.fit(r, 32))), _with(
+    ", e AS (SELECT id, unnest(range(32))::INT AS dim, unnest(v[1:32]) AS x FROM b), m AS (SELECT dim, median(x) AS t FROM e GROUP BY dim), w AS (SELECT id, dim, x - t >= 0 AS bit FROM e JOIN m USING (dim)), "
+    "s AS (SELECT x.id AS qid, y.id, sum((x.bit <> y.bit)::INT)::INT AS dist FROM w x JOIN w y USING (dim) WHERE x.id < 10 GROUP BY x.id, y.id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM s) SELECT qid, rank::INT AS rank, id, dist FROM r WHERE rank < 10"
+))
+_add("differing_codes", _on_rows(lambda r: (lambda c: binary.differing_knn(c.where("id < 10"), c, 10))(_pq(r)[1])), _with(
+    f"{_PQ}, z AS (SELECT x.id AS qid, y.id, sum((x.code <> y.code)::INT)::INT AS dist FROM p x JOIN p y USING (m) WHERE x.id < 10 GROUP BY x.id, y.id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM z) SELECT qid, rank::INT AS rank, id, dist FROM r WHERE rank < 10"
+))
+_add("split_vectors", _on_rows(lambda r: search.split_search(_asked(r), [(r.select("id", F.slice("vec", a + 1, 32).alias("vec")).where("id >= 10"), a, 32) for a in (0, 32)]).select("qid", F.get("ids", F.lit(0)).alias("a"), F.get("ids", F.lit(1)).alias("b"))), _with(
+    ", s AS (SELECT q.qid, m, b.id, list_sum(list_transform(range(1,33), lambda i: (q.v[m*32+i]-b.v[m*32+i])*(q.v[m*32+i]-b.v[m*32+i]))) AS d FROM q, b, (SELECT unnest(range(2)) AS m) WHERE b.id >= 10), "
+    "o AS (SELECT qid, m, arg_min(id, struct_pack(d := d, i := id)) AS id FROM s GROUP BY qid, m) SELECT qid, max(id) FILTER (m = 0) AS a, max(id) FILTER (m = 1) AS b FROM o GROUP BY qid"
+))
+_add("refined_l2", _on_rows(lambda r: (lambda half: _rounded(search.refined(search.knn_join(_asked(half), half, 40), _asked(r), r, 10), "dist"))(r.select("id", F.slice("vec", 1, 16).alias("vec")))), _with(
+    f", s AS (SELECT qid, id, {_score_sql('l2', d=16)} AS near, {_score_sql('l2')} AS dist FROM q, b), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY near, id) AS place FROM s), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM n WHERE place <= 40) SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist FROM r WHERE rank < 10"
+))
+_add("masked_lists", _ivf_search(lambda i, r: i.lists_between(0, 8).masked_by(i.ids_modulo(2, 0))), _with(_IVF + _TOP.format("list_no < 8 OR id % 2 = 0")))
+_add("repeated_codes", _on_rows(lambda r: stats.repeated_codes(_pq(r)[1].select("id", F.get("code", F.lit(0)).alias("c0"), F.get("code", F.lit(1)).alias("c1")), "c0", "c1")), _with(
+    f"{_PQ}, w AS (SELECT x.id, x.code::INT AS c0, y.code::INT AS c1 FROM p x JOIN p y ON x.id = y.id AND x.m = 0 AND y.m = 1) SELECT c0, c1, count(*) AS n, min(id) AS first_id FROM w GROUP BY c0, c1 HAVING count(*) > 1"
+))
+_add("precision_recall_curve", _on_rows(lambda r: _rounded(evaluate.curve(
+    search.range_join(_asked(r), r, 20.0), _ivf(r).range_search(_asked(r), 40.0, 4), r.sparkSession.createDataFrame([(5.0,), (15.0,), (25.0,), (35.0,)], "threshold double")), "precision", "recall")), _with(
+    _IVF + f", t AS (SELECT qid, id FROM q, b WHERE {_score_sql('l2')} < 20), x AS (SELECT unnest([5.0, 15.0, 25.0, 35.0])::DOUBLE AS threshold), "
+    "g AS (SELECT threshold, count(h.id) AS n, count(t.id) AS hits FROM x LEFT JOIN h ON h.dist < threshold AND h.dist < 40 LEFT JOIN t ON t.qid = h.qid AND t.id = h.id GROUP BY threshold) "
+    "SELECT threshold, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE hits::DOUBLE / n END, 6) AS precision, round(hits::DOUBLE / (SELECT count(*) FROM t), 6) AS recall FROM g"
+))
+_add("operating_points", _on_rows(lambda r: evaluate.pareto(r.select(F.col("id").cast("string").alias("key"), F.col("label").cast("double").alias("perf"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("t")))), (
+    "WITH p AS (SELECT vec_id::VARCHAR AS key, label::DOUBLE AS perf, (vec_id * 37 % 101)::DOUBLE AS t FROM embeddings WHERE label > 0), "
+    "o AS (SELECT *, min(t) OVER (ORDER BY perf DESC, t, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p) SELECT key, perf, t FROM o WHERE best IS NULL OR t < best"
+))
+_add("window_knn", _on_rows(lambda r: _rounded(search.knn_join(_asked(r), window.last_slices(r.withColumn("slice", F.pmod("id", F.lit(5)).cast("int")), 2), 10), "dist")), _knn_sql("l2", 10, "id % 5 >= 3"))
+_add("members_knn", _on_rows(lambda r: _rounded(search.knn_join(_asked(r), selectors.members(r, r.where("label = 3").select("id")), 10), "dist")), _knn_sql("l2", 10, "label = 3"))
+_add("others_knn", _on_rows(lambda r: _rounded(search.knn_join(_asked(r), selectors.others(r, r.where("label = 3").select("id")), 10), "dist")), _knn_sql("l2", 10, "label <> 3"))
+_add("described_flat", _on_rows(lambda r: _rounded(Index.of("Flat").train(r).add(r).search(_asked(r), 10), "dist")), _knn_sql("l2", 10))
 # Approximate searches: tests hold their recall against exact search, SQL can't follow their walks.
 _add("nn_descent", _on_rows(lambda r: _rounded(graph.nn_descent(r, 8), "dist")))
 for _kind in ("hnsw", "nsg"):
     _add(f"{_kind}_search", _on_rows(lambda r, kind=_kind: _rounded(graph.GraphIndex.build(r, kind, 16).search(_asked(r), 10, 64), "dist")))
+# Trained on the rows themselves: tests hold errors, recall or cost.
+for _n, _text in {"pca_ivf_flat": "PCA16,IVF16,Flat", "opq_ivf_pq_refined": "OPQ8,IVF16,PQ8x4,RFlat", "rabitq_refined": "RaBitQ2,RFlat", "sphere_refined": "ZnLattice8x14_8,RFlat", "minmax_sq8": "MinMax,SQ8"}.items():
+    _add(f"described_{_n}", _on_rows(lambda r, t=_text: _rounded(Index.of(t).train(r).add(r).search(_asked(r), 10, nprobe=8, factor=4.0), "dist")))
+_add("two_level_clusters", _on_rows(lambda r: cluster.Clusters(cluster.two_level(r, 4, 16, 10), []).table(r.sparkSession)))
+_add("progressive_clusters", _on_rows(lambda r: cluster.Clusters(cluster.progressive(r, 16, 4, 5), []).table(r.sparkSession)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
