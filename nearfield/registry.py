@@ -405,7 +405,7 @@ _add("precision_recall_curve", _on_rows(lambda r: _rounded(evaluate.curve(
     "g AS (SELECT threshold, count(h.id) AS n, count(t.id) AS hits FROM x LEFT JOIN h ON h.dist < threshold AND h.dist < 40 LEFT JOIN t ON t.qid = h.qid AND t.id = h.id GROUP BY threshold) "
     "SELECT threshold, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE hits::DOUBLE / n END, 6) AS precision, round(hits::DOUBLE / (SELECT count(*) FROM t), 6) AS recall FROM g"
 ))
-_add("operating_points", _on_rows(lambda r: evaluate.pareto(r.select(F.col("id").cast("string").alias("key"), F.col("label").cast("double").alias("perf"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("t")))), (
+_add("pareto_points", _on_rows(lambda r: evaluate.pareto(r.select(F.col("id").cast("string").alias("key"), F.col("label").cast("double").alias("perf"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("t")))), (
     "WITH p AS (SELECT vec_id::VARCHAR AS key, label::DOUBLE AS perf, (vec_id * 37 % 101)::DOUBLE AS t FROM embeddings WHERE label > 0), "
     "o AS (SELECT *, min(t) OVER (ORDER BY perf DESC, t, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p) SELECT key, perf, t FROM o WHERE best IS NULL OR t < best"
 ))
