@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import exact_dedup, packing, quality, simhash
+from nearfield.llm import exact_dedup, packing, quality, shingles, simhash
 from nearfield.llm.common import staged
 from nearfield.llm.tokens import default_path
 
@@ -24,7 +24,8 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    """What is within two bits as in op9_simhash, then edited copies: 0.8 or more of the 5-word shingles in common."""
+    return shingles.deduplicated(simhash.deduplicated(docs))
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
