@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import bits, differing, hamming, words
-from nearfield.operators.search import ranked
+from nearfield.operators.search import query_parts, ranked
 
-#: A stated query set of at most so many rows is broadcast; a larger one is refused here (use the hash index).
+#: A stated query set of at most so many rows is broadcast; a larger one is refused by the Hamming searches (use the hash index).
 MOST_QUERIES = 100_000
 
 
@@ -43,9 +44,10 @@ def hamming_counts(queries: DataFrame, base: DataFrame, radius: int) -> DataFram
 
 
 def differing_knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """The k nearest by differing code elements; rows (id, code)."""
-    q = F.broadcast(queries.limit(MOST_QUERIES).select(F.col("id").alias("qid"), F.col("code").alias("q")))
-    rows = base.crossJoin(q).select("qid", "id", differing(F.col("q"), F.col("code")).cast("double").alias("dist"))
+    """The k nearest by differing code elements; rows (id, code). Queries go in blocks."""
+    width = queries.agg(F.max(F.size("code"))).first()[0] or 1
+    sent = [F.broadcast(part.select(F.col("id").alias("qid"), F.col("code").alias("q"))) for part in query_parts(queries, width)]
+    rows = reduce(DataFrame.unionByName, [base.crossJoin(q).select("qid", "id", differing(F.col("q"), F.col("code")).cast("double").alias("dist")) for q in sent])
     return ranked(rows, k).select("qid", "rank", "id", F.col("dist").cast("int").alias("dist"))
 
 

@@ -6,6 +6,7 @@ Models are small (ranges, codebooks) and travel with the plan. Encoding and deco
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import descending, distance
 from nearfield.functions.vectors import bits, words
-from nearfield.operators.search import ranked
+from nearfield.operators.search import query_parts, ranked
 
 
 def _array(values) -> Column:
@@ -137,10 +138,12 @@ class ProductQuantizer:
         return queries.select("id", rows.alias("table"))
 
     def search(self, queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-        """ADC: a stated query set's tables (computed once per query) against rows (id, code)."""
-        t = F.broadcast(self.tables(queries, metric).limit(100_000).select(F.col("id").alias("qid"), "table"))
+        """ADC: the queries' tables (computed once per query, sent in blocks) against rows (id, code)."""
+        m, size, _ = self.shape
         score = F.aggregate(F.zip_with("table", "code", F.get), F.lit(0.0), lambda s, x: s + x)
-        return ranked(rows.crossJoin(t).select("qid", "id", score.alias("dist")), k, metric).select("qid", "rank", "id", "dist")
+        tables = [F.broadcast(self.tables(part, metric).select(F.col("id").alias("qid"), "table")) for part in query_parts(queries, m * size)]
+        hits = reduce(DataFrame.unionByName, [rows.crossJoin(t).select("qid", "id", score.alias("dist")) for t in tables])
+        return ranked(hits, k, metric).select("qid", "rank", "id", "dist")
 
     def symmetric(self, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         """SDC: both sides are codes."""

@@ -46,6 +46,13 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
             yield got.column("id").to_numpy(), _matrix(got.column("vec").combine_chunks() if isinstance(got.column("vec"), pa.ChunkedArray) else got.column("vec"))
 
 
+def query_parts(queries: DataFrame, elements: int) -> list[DataFrame]:
+    """The whole query set in parts for broadcasts, by the id's hash; elements: what one query sends."""
+    size = max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, elements)))
+    parts = max(1, -(-queries.count() // size))
+    return [queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b) for b in range(parts)]
+
+
 def _scores(q: np.ndarray, x: np.ndarray, metric: str, arg: float, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its kept rows and their exact scores. L2 and IP are screened by one matrix product first."""
     if metric not in ("l2", "ip"):
