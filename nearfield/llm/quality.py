@@ -6,6 +6,9 @@ fits the strength of two Beta priors, so a sparse path shrinks toward its host a
 rate. A document's posterior odds are its own odds times the odds of its path's posterior over the global odds; the
 site posteriors leave the document itself out, so that its evidence counts once.
 
+The table documents has no URL: op1_quality and the pipeline pass `source` as the host and `lang` as the path below it,
+the only columns that group documents on two levels.
+
 Defined results. Null text counts as empty, null host or path as ''. Without labels of both kinds the document
 classifier says the global rate of what labels there are (or one half), and all documents stay. Rows are judged one
 by one: repeated rows and ids get equal results. All columns of the input pass through. Empty tables give no rows.
