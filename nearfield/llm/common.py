@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table of at most this many (short) rows may be broadcast; larger ones are joined by shuffle.
-MAX_BROADCAST_ROWS = 200_000
+#: A table of at most this many rows and bytes may be broadcast; larger ones are joined by shuffle.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32 << 20
 
 #: Rows and bytes in an Arrow batch of texts.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -51,17 +55,48 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `most` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if a look at it shows at most `most` rows and MAX_BROADCAST_BYTES bytes; else as it is,
+    for a shuffled join. Columns are numbers, strings, binaries or arrays of numbers."""
+    most = MAX_BROADCAST_ROWS if most is None else most
+    width = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            width += 8 * F.greatest(F.size(f.name), F.lit(0))
+        elif not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            raise TypeError(f"no bound is known for the bytes of {f.name}")
+    n, size = df.select(width.alias("w")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= MAX_BROADCAST_BYTES else df
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold what a Python worker gets at a time to BATCH_ROWS rows and BATCH_BYTES bytes (a single longer text aside)
-    for the rest of the session: ten thousand long texts at once, the usual setting, may exceed an executor."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Hold what a Python worker gets at a time to BATCH_ROWS rows and BATCH_BYTES bytes (a single longer text aside): ten
+    thousand long texts at once, the usual setting, may exceed an executor. These are settings of the session, since
+    Spark has none for one operator; every operator that sends texts to Python makes them, and lower ones stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now <= 0 or now > most:  # 0: no bound
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names behind a prefix that no column has, in upper or lower case."""
+    prefix = "__nf_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return [prefix + w for w in wanted]
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of UTF-8 text (runs outside \\x20, \\x09-\\x0D; A-Z lower-cased) in order, some `size` bytes at a time."""
+    at = 0
+    while at < len(data):
+        gap = _BLANK.search(data, at + size) if len(data) - at > size else None
+        end = gap.start() if gap else len(data)
+        yield data[at:end].lower().split()
+        at = end
 
 
 def ascii_lower(text: Column) -> Column:

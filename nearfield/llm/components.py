@@ -1,7 +1,9 @@
 """Connected components over an edge table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and an equi-join on its key, so partial aggregation takes hubs and adaptive
-execution splits the join of a hub's edges. Labels and edges stay in tables of the shared folder.
+Every step is a grouped minimum, aggregated before it is shuffled, and a join of the minima with the edges. A hub (a node
+of more than HUB edges) would draw all its edges into one task of that join; the hubs' minima are few, so they are
+broadcast behind a check of their size, and only the other nodes' edges are shuffled. Labels and edges stay in tables of
+the shared folder.
 """
 
 from __future__ import annotations
@@ -9,19 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import discard, staged
+from nearfield.llm.common import discard, small, staged
+
+#: Edges of a node above which its edges are not shuffled by node.
+HUB = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str) -> DataFrame:
+    """rows with the least value of their key, whatever number of rows a key has. The rows are read more than once."""
+    every = staged(rows.groupBy(key).agg(F.min(value).alias(least), F.count("*").alias("rows_of_key")), "least")
+    hubs = every.where(F.col("rows_of_key") > HUB).drop("rows_of_key")
+    rest = rows
+    if not hubs.isEmpty():
+        few = small(hubs)
+        at_hubs = rows.join(few, key)
+        rest = rows.join(few.select(key), key, "left_anti")
+    out = rest.join(every.where(F.col("rows_of_key") <= HUB).drop("rows_of_key"), key)
+    return out if hubs.isEmpty() else out.unionByName(at_hubs)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = with_least(both, "u", "v", "m").where("v > u")
+    return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    ends = down.join(least, "u").select("u", "m", F.explode(F.array("u", "v")).alias("x"))
+    ends = with_least(down, "u", "v", "m").select("m", F.explode(F.array("u", "v")).alias("x"))
     return ends.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -38,8 +55,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        after = staged(_small_star(_large_star(now)), "edges")
+        large = staged(_large_star(now), "edges")
+        after = staged(_small_star(large), "edges")
         discard(now)
+        discard(large)
         now, before = after, mark
         mark = _mark(now)
         if mark == before:

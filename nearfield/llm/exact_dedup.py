@@ -3,12 +3,14 @@
 A chunk of bytes c has the hash H(c) = sum of c[i] * B^(n-1-i) mod P, and H(ab) = H(a) * B^len(b) + H(b). So the
 chunks of a huge document are hashed by different tasks and their hashes combined in order; a small document is
 hashed where it is read, by the same formula. Two moduli below 2^31 give 62 bits. Documents with equal fingerprints
-and lengths are compared chunk by chunk, as streams: a task holds one reference text of a group and one chunk.
+and lengths are compared chunk by chunk, as streams: a task holds the distinct texts of a group (one, but for collisions
+of all 62 bits and the length) and one chunk of the text compared; chunks are kept only once they differ.
 
 Defined results. Null text counts as empty; empty texts are equal to each other. Texts are equal when identical
 after lower-casing A-Z. Of equal texts the row with the largest doc_id stays; a null doc_id is the smallest; of
-rows that repeat text and doc_id exactly one stays. Any further columns of the input, whatever their names, are
-ignored by the decisions and kept by `deduplicated`. An empty table gives an empty table.
+rows that repeat text and doc_id exactly one stays. Very long texts are hashed in parts by several tasks. Any further
+columns of the input, whatever their names, are ignored by the decisions and kept by `deduplicated`. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, bounded_batches, discard, small, staged, whole
+from nearfield.llm.common import ascii_lower, bounded_batches, free_names, small, staged, whole
 
 #: Moduli and bases of the two hashes.
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -101,12 +103,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = doc = None
     refs: list[list[str]] = []
     alive: list[int] = []
-    mine: list[str] = []
+    seen, mine = 0, None  # chunks so far; the chunks themselves once no reference is equal up to here
 
     def close() -> None:
-        if doc is not None and not any(len(refs[r]) == len(mine) for r in alive):
-            out.append((*group, doc[0], doc[1], len(refs)))
-            refs.append(list(mine))
+        nonlocal mine
+        if doc is None or any(len(refs[r]) == seen for r in alive):
+            return
+        if mine is None:
+            mine = refs[alive[0]][:seen] if alive else []
+        out.append((*group, doc[0], doc[1], len(refs)))
+        refs.append(mine)
 
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("fp", "n_bytes", "salt", "doc_id", "sha", "copy", "no", "text")]
@@ -116,10 +122,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (fp, n, salt) != group:
                     group = (fp, n, salt)
                     refs.clear()
-                doc, alive = (doc_id, sha, copy), list(range(len(refs)))
-                mine.clear()
-            alive = [r for r in alive if no < len(refs[r]) and refs[r][no] == text]
-            mine.append(text)
+                doc, alive, seen, mine = (doc_id, sha, copy), list(range(len(refs))), 0, None
+            before, alive = alive, [r for r in alive if no < len(refs[r]) and refs[r][no] == text]
+            if not alive:
+                if mine is None:
+                    mine = refs[before[0]][:seen] if before else []
+                mine.append(text)
+            seen += 1
         if out:
             yield _distinct_batch(out)
             out.clear()
@@ -185,14 +194,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns."""
     told = staged(decisions(docs, id_col, text_col).select("doc_id", "sha", "kept"), "exact-decisions")
-    away, d, s = "__nf_doc", "__nf_id", "__nf_sha"
-    keyed = docs.withColumns({d: F.col(id_col).cast("long"), s: F.unhex(F.sha2(ascii_lower(whole(text_col)), 256))})
-    gone = told.where("not kept").select(F.col("doc_id").alias(away), F.col("sha").alias("__nf_gone_sha")).distinct()
-    same = F.col(d).eqNullSafe(F.col(away)) & (F.col(s) == F.col("__nf_gone_sha"))
+    d, h, away, gone_h = free_names(docs.columns, "id", "sha", "gone_id", "gone_sha")
+    keyed = docs.withColumns({d: F.col(id_col).cast("long"), h: F.unhex(F.sha2(ascii_lower(whole(text_col)), 256))})
+    gone = told.where("not kept").select(F.col("doc_id").alias(away), F.col("sha").alias(gone_h)).distinct()
+    same = F.col(d).eqNullSafe(F.col(away)) & (F.col(h) == F.col(gone_h))
     rows = keyed.join(small(gone), same, "left_anti")
     # Rows that repeat both text and doc_id of the one that stays: they are in `gone` too, and one of them comes back.
     twice = told.groupBy("doc_id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept and n > 1")
-    twice = twice.select(F.col("doc_id").alias(away), F.col("sha").alias("__nf_gone_sha"))
+    twice = twice.select(F.col("doc_id").alias(away), F.col("sha").alias(gone_h))
     if not twice.isEmpty():
-        rows = rows.unionByName(keyed.join(small(twice), same, "left_semi").dropDuplicates([d, s]))
-    return rows.drop(d, s)
+        rows = rows.unionByName(keyed.join(small(twice), same, "left_semi").dropDuplicates([d, h]))
+    return rows.drop(d, h)

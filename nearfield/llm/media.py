@@ -8,7 +8,8 @@ its ordered chunk list. To read, an image whose chunks all lie in its own row is
 others are foreign chunks fetched by a join on the digest. Every chunk and every image is verified against its digest.
 
 Defined results. Null text counts as empty: 64 zero bytes. Equal texts are one image, read once; rows that repeat an id
-get a row each. Extra columns are ignored. An empty table gives no rows.
+get a row each. A very long text is one image; a task holds it and hashes it in slices. Extra columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import discard, small, staged, whole
+from nearfield.llm.common import bounded_batches, discard, small, staged, whole
 
 WIDTH = 64
 #: Chunk sizes in bytes; a cut needs CUT_BITS zero bits at the top of the hash. MIN_CHUNK exceeds the hash's window of
@@ -52,10 +53,14 @@ def payload_of(media: bytes) -> memoryview:
 
 def cut_candidates(data: np.ndarray) -> np.ndarray:
     """Places (ends of chunks) where the gear hash of the 32 bytes before has CUT_BITS zero bits at the top."""
-    h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):  # windows double: h over 2k bytes from two over k
-        h[k:] = h[k:] + (h[:-k] << np.uint32(k))
-    return np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+    found = []
+    for at in range(0, len(data), SLICE_BYTES):
+        before = min(at, 31)
+        h = GEAR[data[at - before : at + SLICE_BYTES]]
+        for k in (1, 2, 4, 8, 16):  # windows double: h over 2k bytes from two over k
+            h[k:] = h[k:] + (h[:-k] << np.uint32(k))
+        found.append(np.flatnonzero(h[before:] >> np.uint32(32 - CUT_BITS) == 0) + at + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def chunk_ends(n: int, candidates: np.ndarray) -> list[int]:
@@ -114,14 +119,17 @@ def _container_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chunk store, in the shared folder: uid, doc_id, n_bytes, media (SHA-256), recipe, own; each chunk is in one row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     held = staged(rows.mapInArrow(_container_rows, _CONTAINER).withColumn("uid", F.monotonically_increasing_id()), "containers")
-    found = held.select("uid", F.explode("own.digest").alias("digest"))
+    found = held.select("uid", F.posexplode("own.digest").alias("at", "digest"))
     owners = found.groupBy("digest").agg(F.min("uid").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    extra = found.join(owners, "digest").where("uid <> owner").groupBy("uid").agg(F.collect_list("digest").alias("extra"))
+    extra = found.join(owners, "digest").where("uid <> owner").groupBy("uid").agg(F.collect_list("at").alias("extra"))
     extra = staged(extra, "stored-twice")
     out = held.join(small(extra), "uid", "left")
-    own = F.when(F.col("extra").isNull(), F.col("own")).otherwise(F.filter("own", lambda x: ~F.array_contains("extra", x["digest"])))
+    # The places that stay, by a set difference: its time is linear in the chunks of a row.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("own") - 1), "extra")
+    own = F.when(F.col("extra").isNull(), F.col("own")).otherwise(F.transform(stay, lambda i: F.get("own", i)))
     out = staged(out.select("uid", "doc_id", "n_bytes", "media", "recipe", own.alias("own")), "chunk-store")
     discard(held)
     return out

@@ -4,16 +4,19 @@ Documents are cut into pieces of at most `capacity` tokens; full pieces are sequ
 over partitions by a hash and packed there by best-fit decreasing. Dual feasible functions give each partition a lower
 bound on its bins: where the bound is met, the partition's count is certified and it closes all bins but its emptiest.
 Partitions with a gap give up all bins with free space. What was given up is dealt anew over fewer partitions and
-packed again, until one partition is left, all is certified, or a round saves nothing.
+packed again, until one partition is left, all is certified, or a round saves nothing. `pack` returns the certificates
+beside the sequences: bins and bound of each partition of each round, and of the whole.
 
 Defined results. Null text counts as empty: one piece, the end id alone. Ties in length are broken by doc_id, start.
-Rows that repeat a doc_id are packed each for itself. Extra columns are ignored. An empty table gives no rows.
+Rows that repeat a doc_id are packed each for itself. Very long texts become pieces as they are encoded, one text at a
+time. Extra columns are ignored. An empty table gives no rows, no bins and a bound of 0.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,15 +56,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(cut, _PIECE)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs at least: the best of the volume and a family of dual feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing needs at least: the best of the volume and a family of dual feasible functions. With counts,
+    lengths are distinct, rising and so often there.
 
     For a threshold t <= capacity / 2, lengths above capacity - t count as a whole bin, those under t as nothing and
     the others as they are. For k, the rounding function floor((k + 1) x) / k, exact at multiples, counts in k-ths.
     """
     if not len(lengths):
         return 0
-    sizes, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
+    sizes, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True) if counts is None else (lengths, counts)
     best = -(-int((sizes * counts).sum()) // capacity)
     big, mass = np.cumsum(counts[::-1])[::-1], np.cumsum(sizes * counts)
     for t in np.unique(np.minimum(sizes, capacity // 2)).tolist():
@@ -127,36 +131,58 @@ def _dealt(rows: DataFrame, parts: int, capacity: int, turn: int) -> DataFrame:
     return staged(rows.select(*columns, part.alias("part")).groupBy("part").applyInPandas(_pack_part(capacity, parts == 1), _PACKED), "packed")
 
 
-def _bins(rows: DataFrame) -> int:
-    return rows.select("part", "bin").distinct().count()
+@dataclass(frozen=True)
+class Packing:
+    """sequences: rows of _PIECE with sequence_id and offset. certificates: a row per partition and round: turn, part, bins,
+    bound, certified (bins = bound), given_up (bins dealt anew). bins: sequences in all; bound: what no packing is below."""
 
+    sequences: DataFrame
+    certificates: DataFrame
+    bins: int
+    bound: int
 
-def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """Rows of _PIECE (staged) to the same with sequence_id and offset."""
+
+def _certificates(now: DataFrame, turn: int) -> DataFrame:
+    by = now.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count_distinct(F.when(F.col("open"), F.col("bin"))).alias("given_up"))
+    return by.select(F.lit(turn).alias("turn"), "part", "bins", "bound", (F.col("bins") == F.col("bound")).alias("certified"), "given_up")
+
+
+def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITION_PIECES) -> Packing:
+    """Pack rows of _PIECE (staged)."""
     full = rows.where(F.col("length") == capacity)
     pool = rows.where(F.col("length") < capacity)
+    sizes = rows.groupBy("length").count().orderBy("length").toArrow()  # at most `capacity` rows
+    lengths, counts = (sizes.column(c).to_numpy() for c in ("length", "count"))
+    bound = lower_bound(lengths, capacity, counts)
+    bins = int(counts[lengths == capacity].sum())
+    n, held = int(counts.sum()) - bins, None
     done: list[DataFrame] = []
-    n, held = pool.count(), None
+    told = rows.sparkSession.createDataFrame([], "turn int, part long, bins long, bound long, certified boolean, given_up long")
     while n:
         parts, turn = -(-n // partition_pieces), len(done)
         now = _dealt(pool, parts, capacity, turn)
-        made = _bins(now)
+        certificates = _certificates(now, turn)
+        made, given = certificates.agg(F.sum("bins"), F.sum("given_up")).first()
         if held is not None and made > held:  # the round lost: what it started from stays as it was
             done.append(pool)
+            bins += held
             break
-        done.append(now.where("not open"))
-        left = now.where("open")
-        if turn + 1 >= MAX_ROUNDS:
-            done.append(left)
+        told = told.unionByName(certificates)
+        if not given or made == held or turn + 1 >= MAX_ROUNDS:  # nothing to deal anew, or this saved nothing
+            done.append(now)
+            bins += made
             break
-        pool, n, held = left, left.count(), _bins(left)
+        done.append(now.where("not open"))
+        bins += made - given
+        pool = now.where("open")
+        n, held = pool.count(), given
     out = full.withColumn("m", F.monotonically_increasing_id()).select(*rows.columns, (2 * F.col("m")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for turn, packed in enumerate(done):
         # odd ids: the partition, then the turn, then the bin
         number = (F.shiftleft(F.col("part") * len(done) + turn, 32) + F.col("bin")) * 2 + 1
         out = out.unionByName(packed.select(*rows.columns, number.alias("sequence_id"), "offset"))
-    return out
+    return Packing(out, told, bins, bound)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(staged(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity).sequences

@@ -1,23 +1,26 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic regression on byte and word statistics of the whole text gives each document its own evidence. Grouped
-aggregation turns that evidence into rates of hosts and of paths below them; the spread of the rates beyond chance
-fits the strength of two Beta priors, so a sparse path shrinks toward its host and a sparse host toward the global
-rate. A document's posterior odds are its own odds times the odds of its path's posterior over the global odds; the
-site posteriors leave the document itself out, so that its evidence counts once.
+A logistic regression on hashed n-grams of the whole text (three bytes, one word, two words), its byte shares and how its
+words repeat gives each document its own evidence. Grouped aggregation turns that evidence into rates of hosts and of
+paths below them; the spread of the rates beyond chance fits the strength of two Beta priors, so a sparse path shrinks
+toward its host and a sparse host toward the global rate. A document's posterior odds are its own odds times the odds of
+its path's posterior over the global odds; the site posteriors leave the document itself out, so that its evidence
+counts once.
 
 The table documents has no URL: op1_quality and the pipeline pass `source` as the host and `lang` as the path below it,
 the only columns that group documents on two levels.
 
 Defined results. Null text counts as empty, null host or path as ''. Without labels of both kinds the document
 classifier says the global rate of what labels there are (or one half), and all documents stay. Rows are judged one
-by one: repeated rows and ids get equal results. All columns of the input pass through. Empty tables give no rows.
+by one: repeated rows and ids get equal results, and a posterior equal to the threshold stays. For the fit, ids in a tie
+of hashes go by id, and of rows that repeat an id the one with the smallest features counts, so a fit can be repeated.
+Very long texts are read in blocks of BLOCK bytes, cut at white space where there is some; memory beside the text is
+that of a block. All columns of the input pass through, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, small, whole
+from nearfield.llm.common import bounded_batches, free_names, small, staged, whole
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -34,23 +37,58 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
 #: Bounds of a document's own probability and of the fitted prior strengths.
 FLOOR, STRENGTH = 0.001, (1.0, 1e6)
-
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-N_FEATURES = 128 + 6
+#: Bytes looked at together, and how far back a block's end is moved to white space.
+BLOCK, BACK = 1 << 18, 1 << 12
+#: Buckets of each kind of n-gram.
+GRAMS = 256
+N_FEATURES = 129 + 3 * GRAMS + 3
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_PLACE = np.power(np.uint64(0xD6E8FEB86659FD93), np.arange(64, dtype=np.uint64))
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return ((h * _MIX) >> np.uint64(56)).astype(np.int64) % GRAMS
+
+
+def _block_counts(x: np.ndarray, counts: np.ndarray) -> None:
+    """Add a block's counts: bytes, three-byte grams, words, pairs of words, words, repeated words, characters of words."""
+    counts[:256] += np.bincount(x, minlength=256)
+    low = _LOWER[x]
+    if len(x) > 2:
+        counts[256 : 256 + GRAMS] += np.bincount(_bucket(low[:-2] + (low[1:-1] << np.uint64(9)) + (low[2:] << np.uint64(18))), minlength=GRAMS)
+    blank = _BLANK[x]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    if not len(starts):
+        return
+    inside = np.flatnonzero(~blank)
+    first = np.repeat(starts, np.diff(np.append(np.searchsorted(inside, starts), len(inside))))
+    terms = low[inside] * _PLACE[(inside - first) & 63]
+    words = np.add.reduceat(terms, np.searchsorted(inside, starts))
+    counts[256 + GRAMS : 256 + 2 * GRAMS] += np.bincount(_bucket(words), minlength=GRAMS)
+    pairs = words[:-1] * np.uint64(3) + words[1:]
+    counts[256 + 2 * GRAMS : 256 + 3 * GRAMS] += np.bincount(_bucket(pairs), minlength=GRAMS)
+    counts[-3:] += len(words), int((words[1:] == words[:-1]).sum()), len(inside)
 
 
 def features(text: str) -> np.ndarray:
-    """Shares of the ASCII bytes and of other bytes, upper case, and how words repeat and how long they are."""
-    data = text.encode()
-    n = max(1, len(data))
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    words = data.split()
-    m = max(1, len(words))
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    bare = sum(len(w) == 1 and not w.isalnum() for w in words)
-    tail = sum(w[-3:] != w[-1:] and w[-1:] == w[-2:-1] and not w[-1:].isalnum() for w in words)
-    extra = [counts[128:].sum() / n, counts[65:91].sum() / n, again / m, bare / m, tail / m, math.log1p(n / m) / 5]
-    return np.concatenate([counts[:128] / n, extra]).astype(np.float32)
+    """Root shares of n-grams, shares of ASCII bytes, of others and of repeated words, and how long words and text are."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    counts, at = np.zeros(256 + 3 * GRAMS + 3, np.int64), 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK)
+        if end < len(data):
+            gaps = np.flatnonzero(_BLANK[data[end - BACK : end]])
+            end = end - BACK + int(gaps[-1]) + 1 if len(gaps) else end
+        _block_counts(data[at:end], counts)
+        at = end
+    n, words = max(1, len(data)), max(1, int(counts[-3]))
+    grams = counts[256 : 256 + 3 * GRAMS].reshape(3, GRAMS)
+    rooted = np.sqrt(grams / np.maximum(1, grams.sum(1, keepdims=True)))
+    extra = [counts[128:256].sum() / n, counts[-2] / words, math.log1p(counts[-1] / words) / 5, math.log1p(n) / 20]
+    return np.concatenate([counts[:128] / n, rooted.ravel(), extra]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -71,14 +109,17 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Mo
     if len(y) == 0 or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), math.log(rate / (1 - rate))), False)
-    x = x.astype(np.float64)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+    w, penalty = np.zeros(N_FEATURES + 1), np.full(N_FEATURES + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for at in range(0, len(x), 1024):  # a few rows in doubles at a time
+            z = np.hstack([(x[at : at + 1024] - mean) / scale, np.ones((len(x[at : at + 1024]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            curve += (z * (p * (1 - p))[:, None]).T @ z
+            slope += z.T @ (y[at : at + 1024] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -87,25 +128,29 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Mo
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([v.tobytes() for v in x], pa.binary())], names=["y", "x"])
+        x = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> Model:
     """Fit on documents that `labels` (id_col, label_col 0/1) names; of several labels of one id, the lowest holds."""
     bounded_batches(docs.sparkSession)
-    sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__nf_id")).agg(F.min(label_col).alias("y"))
-    sample = sample.orderBy(F.xxhash64("__nf_id"), "__nf_id").limit(max_rows)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("__nf_id"), whole().alias("text")).join(F.broadcast(sample), "__nf_id")
-    got = rows.select(F.col("y").cast("double").alias("y"), "text").mapInArrow(_feature_rows, "y double, x binary").limit(max_rows).toArrow()
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
+    sample = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded, so it may be broadcast
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).join(F.broadcast(sample), "id")
+    made = rows.select("id", "y", "text").mapInArrow(_feature_rows, "id long, y double, x binary")
+    got = made.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()  # at most max_rows rows
     if not got.num_rows:
-        return fit(np.zeros((0, N_FEATURES)), np.zeros(0))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
+        return fit(np.zeros((0, N_FEATURES), np.float32), np.zeros(0))
+    got = got.sort_by("id")
+    x = np.empty((got.num_rows, N_FEATURES), np.float32)
+    for i, v in enumerate(got.column("x")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
     return fit(x, got.column("y").to_numpy())
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with __nf_p, the document's own probability of good quality."""
+def own_probability(model: Model, text: Column) -> Column:
+    """The document's own probability of good quality."""
 
     @F.pandas_udf("double")
     def own(texts):
@@ -116,7 +161,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         x = np.stack([features(t) for t in texts])
         return pd.Series(1 / (1 + np.exp(-np.clip(model.logit(x), -30, 30)))).clip(FLOOR, 1 - FLOOR)
 
-    return docs.withColumn("__nf_p", own(whole(text_col)))
+    return own(whole(text))
 
 
 def _strength(sites: DataFrame, mu: Column, least: int = 2) -> Column:
@@ -140,7 +185,7 @@ def site_rates(judged: DataFrame) -> tuple[DataFrame, Priors]:
     """judged (host, path, p) to sites (host, path, n, s, host_n, host_s) and the fitted priors."""
     paths = judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
     paths = paths.withColumn("v", F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(1e-9)))
-    paths = paths.persist()
+    paths = staged(paths.select("host", "path", "n", "s", "q", "v"), "quality-sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     hosts = hosts.withColumn("v", F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(1e-9)))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -157,27 +202,30 @@ def _odds(p: Column) -> Column:
     return p / (1 - p)
 
 
-def judged(docs: DataFrame, model: Model, host: Column, path: Column, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with p_doc, host_rate, path_rate, posterior and keep appended (under __nf_ names).
+def judged(docs: DataFrame, model: Model, host: Column, path: Column, threshold: float = THRESHOLD, text_col: str = "text", out_col: str = "judgement") -> DataFrame:
+    """docs with out_col, a struct of p_doc, host_rate, path_rate, posterior and kept; a column of that name is replaced.
 
     Texts are scored twice, once for the site rates and once for the result, so that no text is shuffled: the rates of
-    at most MAX_BROADCAST_ROWS sites are broadcast; more are joined by shuffle.
+    few sites are broadcast; more are joined by shuffle.
     """
-    site = {"__nf_host": F.coalesce(host.cast("string"), F.lit("")), "__nf_path": F.coalesce(path.cast("string"), F.lit(""))}
-    rows = scored(docs.withColumns(site), model, text_col)
-    sites, prior = site_rates(rows.select(F.col("__nf_host").alias("host"), F.col("__nf_path").alias("path"), F.col("__nf_p").alias("p")))
-    sites = sites.select(*(F.col(c).alias(f"__nf_s_{c}") for c in sites.columns))
-    out = rows.join(small(sites), (F.col("__nf_host") == F.col("__nf_s_host")) & (F.col("__nf_path") == F.col("__nf_s_path")))
-    p = F.col("__nf_p")
-    host_rate = (F.col("__nf_s_host_s") - p + prior.host_strength * prior.rate) / (F.col("__nf_s_host_n") - 1 + prior.host_strength)
-    out = out.withColumn("__nf_host_rate", F.least(F.lit(1 - FLOOR), F.greatest(F.lit(FLOOR), host_rate)))
-    path_rate = (F.col("__nf_s_s") - p + prior.path_strength * F.col("__nf_host_rate")) / (F.col("__nf_s_n") - 1 + prior.path_strength)
-    out = out.withColumn("__nf_path_rate", F.least(F.lit(1 - FLOOR), F.greatest(F.lit(FLOOR), path_rate)))
-    odds = _odds(p) * _odds(F.col("__nf_path_rate")) / (prior.rate / (1 - prior.rate))
-    out = out.withColumn("__nf_posterior", odds / (1 + odds))
-    return out.withColumn("__nf_keep", F.col("__nf_posterior") >= threshold if model.fitted else F.lit(True))
+    bounded_batches(docs.sparkSession)
+    me, at = free_names([*docs.columns, out_col], "me", "site")
+    site = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
+    rows = docs.withColumn(me, F.struct(*site, own_probability(model, F.col(text_col)).alias("p")))
+    sites, prior = site_rates(rows.select(f"{me}.*"))
+    flat = [f"{at}_{c}" for c in sites.columns]
+    out = rows.join(small(sites.toDF(*flat)), (F.col(f"{me}.host") == F.col(f"{at}_host")) & (F.col(f"{me}.path") == F.col(f"{at}_path")))
+    p, held = F.col(f"{me}.p"), lambda c: F.least(F.lit(1 - FLOOR), F.greatest(F.lit(FLOOR), c))
+    host_rate = held((F.col(f"{at}_host_s") - p + prior.host_strength * prior.rate) / (F.col(f"{at}_host_n") - 1 + prior.host_strength))
+    path_rate = held((F.col(f"{at}_s") - p + prior.path_strength * host_rate) / (F.col(f"{at}_n") - 1 + prior.path_strength))
+    odds = _odds(p) * _odds(path_rate) / (prior.rate / (1 - prior.rate))
+    posterior = odds / (1 + odds)
+    kept = posterior >= threshold if model.fitted else F.lit(True)
+    told = F.struct(p.alias("p_doc"), host_rate.alias("host_rate"), path_rate.alias("path_rate"), posterior.alias("posterior"), kept.alias("kept"))
+    return out.withColumn(out_col, told).drop(me, *flat)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose posterior reaches the threshold, with the columns of docs."""
-    return judged(docs, train(docs, labels), host, path, threshold).where("__nf_keep").select(*docs.columns)
+    (told,) = free_names(docs.columns, "told")
+    return judged(docs, train(docs, labels), host, path, threshold, out_col=told).where(F.col(f"{told}.kept")).drop(told)

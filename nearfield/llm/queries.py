@@ -15,8 +15,7 @@ from nearfield.llm.tokens import default_path
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality.judged(docs, quality.train(docs, labels), F.col("source"), F.col("lang"))
-    names = {"p_doc": "__nf_p", "host_rate": "__nf_host_rate", "path_rate": "__nf_path_rate", "posterior": "__nf_posterior", "kept": "__nf_keep"}
-    return out.select("doc_id", *(F.col(c).alias(n) for n, c in names.items()))
+    return out.select("doc_id", "judgement.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

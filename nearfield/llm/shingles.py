@@ -11,7 +11,8 @@ connected: no list is cut, and a large group of copies is done in about one pass
 
 Defined results. Words and lower-casing as in simhash; a shorter text is one shingle, a text without words has the
 empty set. Texts with equal sets are one node. Of what is linked, directly or not, the row with the smallest doc_id
-stays (null ids last, then by the text's hash). Sets are of 64-bit hashes.
+stays (null ids last, then by the text's hash). Sets are of 64-bit hashes. Very long texts are read in blocks of words.
+Extra columns, whatever their names, are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, discard, small, staged, whole
+from nearfield.llm.common import bounded_batches, discard, small, staged, whole, word_blocks
 from nearfield.llm.components import connected_components
+from nearfield.llm.simhash import stay_of_parts, text_hashes, without
 
 ROWS, BANDS = 5, 20
 #: Hashes times minima computed at a time.
@@ -38,12 +40,14 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     import xxhash
 
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(g, 42) for g in grams], np.uint64))
+    digest, tail, found = xxhash.xxh64_intdigest, [], []
+    for block in word_blocks((text or "").encode()):
+        w = tail + block
+        found.append(np.unique(np.array([digest(g, 42) for g in map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))], np.uint64)))
+        tail = w[max(0, len(w) - words + 1) :]
+    if not any(len(f) for f in found):
+        return np.array([digest(b" ".join(tail), 42)] if tail else [], np.uint64)
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -68,8 +72,8 @@ def _sketch_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
-            out = [batch.column("doc_id"), batch.column("th"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "th", "sh", "keys"])
+            out = [batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "t1", "t2", "sh", "keys"])
 
     return rows
 
@@ -131,30 +135,27 @@ def _link_rows(similarity: float):
     return rows
 
 
-def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(whole(text_col))
-
-
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows linked to one that stays."""
+    """docs without the rows linked to one that stays; rows that repeat both doc_id and text count once."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("th"), whole(text_col).alias("text"))
-    rows = staged(texts.mapInArrow(_sketch_rows(words), "doc_id long, th long, sh long, keys array<long>"), "shingle-keys")
+    t1, t2 = text_hashes(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), whole(text_col).alias("text"))
+    rows = staged(texts.mapInArrow(_sketch_rows(words), "doc_id long, t1 long, t2 long, sh long, keys array<long>"), "shingle-keys")
 
-    nodes = rows.groupBy("sh").agg(F.min_by(F.struct("doc_id", "th", "keys"), F.struct("doc_id", "th")).alias("x"))
-    listed = staged(nodes.select("sh", "x.doc_id", "x.th", F.explode("x.keys").alias("key")), "shingle-lists")
+    row = F.struct("doc_id", "t1", "t2")
+    nodes = rows.groupBy("sh").agg(F.min_by(F.struct("doc_id", "t1", "t2", "keys"), row).alias("x"))
+    listed = staged(nodes.select("sh", "x.doc_id", "x.t1", "x.t2", F.explode("x.keys").alias("key")), "shingle-lists")
     groups = listed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sh")).alias("x"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("n > 1")
     members = staged(listed.join(groups.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "key"), "shingle-groups")
-    asked = members.select("sh", F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    again = texts.join(small(asked), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("sh", "text")
+    asked = members.select("sh", F.col("doc_id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))
+    again = texts.join(small(asked), same).select("sh", "text")
     sets = staged(again.mapInArrow(_set_rows(words), "sh long, grams binary").dropDuplicates(["sh"]), "shingle-sets")
     grouped = members.select("key", "sh").join(sets, "sh").repartition("key").sortWithinPartitions("key")
     parts = connected_components(grouped.mapInArrow(_link_rows(similarity), "u long, v long"))
 
-    named = rows.select("doc_id", "th", "sh").join(parts.select(F.col("node").alias("sh"), "component"), "sh", "left")
-    named = named.select(F.coalesce("component", "sh").alias("part"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("row"))
-    stays = named.groupBy("part").agg(F.min("row").alias("stays"))
-    gone = staged(named.join(stays, "part").where("row <> stays").select(F.col("row.doc_id").alias("__nf_id"), F.col("row.th").alias("__nf_th")).distinct(), "shingle-gone")
+    named = rows.select("doc_id", "t1", "t2", "sh").join(parts.select(F.col("node").alias("sh"), "component"), "sh", "left")
+    gone = staged(stay_of_parts(named.select("doc_id", "t1", "t2", F.coalesce("component", "sh").alias("part"))), "shingle-gone")
     for used in (rows, listed, members, sets):
         discard(used)
-    return docs.join(small(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__nf_id")) & (_text_hash(text_col) == F.col("__nf_th")), "left_anti")
+    return without(docs, gone, id_col, text_col)

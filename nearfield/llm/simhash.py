@@ -13,8 +13,10 @@ linear in the list, and needs memory for the list alone.
 
 Defined results. A-Z are lower-cased, words are runs of bytes outside \\x20 and \\x09-\\x0D, shingles are `words` words
 joined by a space (a shorter text: all its words). No words (null and empty texts too): fingerprint zero, linked like
-any other. Equal fingerprints are one node, so copies cost nothing. component_id is the smallest doc_id reachable; null
-ids never name a component unless all its ids are null. Extra columns are kept by `deduplicated`, ignored otherwise.
+any other. Very long texts are read in blocks of words. Fingerprints, not ids, are the nodes: copies cost nothing, and
+null or repeated ids neither make nor break a link. component_id is the smallest doc_id of all rows reachable; it is null
+only where all their ids are. Extra columns, whatever their names, are kept by `deduplicated`, ignored otherwise. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, small, staged, whole
-from nearfield.llm.components import connected_components
+from nearfield.llm.common import bounded_batches, free_names, small, staged, whole, word_blocks
+from nearfield.llm.components import connected_components, with_least
 
 #: Posting lists above this size are linked by masks instead of pairs.
 DENSE = 1024
@@ -40,23 +42,25 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     """The 64-bit SimHash as an unsigned int."""
     import xxhash
 
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0
-    grams = [b" ".join(w)] if len(w) < words else [b" ".join(g) for g in zip(*(w[i:] for i in range(words)), strict=False)]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, 42) for g in grams], ">u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), BLOCK):
-        ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes())
-
-
-def _print_rows(words: int):
+    digest, ones, n, tail = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for block in word_blocks((text or "").encode()):
+        w = tail + block
+        grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+        h = np.array([digest(g, 42) for g in grams], ">u8")
+        n += len(h)
+        for at in range(0, len(h), BLOCK):
+            ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        tail = w[max(0, len(w) - words + 1) :]
+    if not n:
+        return digest(b" ".join(tail), 42) if tail else 0
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes())
+
+
+def _print_rows(words: int, kept: tuple[str, ...] = ("doc_id",)):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(prints)], names=[*kept, "fp"])
 
     return rows
 
@@ -167,13 +171,12 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def classes(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """prints (doc_id, fp), staged, to (fp, component_id): the smallest doc_id of fp's component."""
+    """prints (doc_id, fp), staged, to (fp, part, component_id): a name of fp's component and its smallest doc_id."""
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    found = links(nodes, bits)
-    ends = nodes.where("node is not null")
-    edges = found.join(ends.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
-    parts = connected_components(edges.select("u", "v"))
-    return nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    parts = connected_components(links(nodes, bits).toDF("u", "v"))
+    named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("part"))
+    named = staged(named, "simhash-parts")
+    return with_least(named, "part", "node", "component_id").select("fp", "part", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +189,39 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def text_hashes(text_col: str) -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(whole(text_col)), F.xxhash64(F.lit("text"), whole(text_col))]
+
+
+def stay_of_parts(named: DataFrame) -> DataFrame:
+    """named (doc_id, t1, t2, part) to the distinct (doc_id, t1, t2) that don't stay: in each part the row with the smallest
+    doc_id stays (null ids last, then by the text's hashes)."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    rows = staged(named.select("part", row.alias("row")).distinct(), "rows-of-parts")
+    gone = with_least(rows, "part", "row", "stays").where("row <> stays")
+    return gone.select("row.doc_id", "row.t1", "row.t2").distinct()
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and text are in gone (doc_id, t1, t2); rows that repeat both id and text count once."""
+    i, a, b, gi, ga, gb = free_names(docs.columns, "id", "t1", "t2", "gone_id", "gone_t1", "gone_t2")
+    t1, t2 = text_hashes(text_col)
+    keyed = docs.withColumns({i: F.col(id_col).cast("long"), a: t1, b: t2})
+    same = F.col(i).eqNullSafe(F.col(gi)) & (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb))
+    left = keyed.join(small(gone.toDF(gi, ga, gb)), same, "left_anti")
+    twice = keyed.groupBy(i, a, b).agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        left = left.dropDuplicates([i, a, b])
+    return left.drop(i, a, b)
+
+
 def deduplicated(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Rows that repeat a doc_id share its fate, and rows
-    that repeat both doc_id and text count once. Null ids (never named by a component) stay."""
-    found = staged(near_duplicates(docs, words, bits, id_col, text_col), "near-dups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__nf_gone")).distinct()
-    left = docs.join(small(gone), F.col(id_col).cast("long") == F.col("__nf_gone"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.withColumn("__nf_h", F.sha2(whole(text_col), 256)).dropDuplicates([id_col, "__nf_h"]).drop("__nf_h")
-    return left
+    """docs with one row of each component: that with the smallest doc_id; among null ids and repeated ones, that with the
+    smallest hash of its text. Rows that repeat both doc_id and text count once."""
+    bounded_batches(docs.sparkSession)
+    t1, t2 = text_hashes(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), whole(text_col).alias("text"))
+    prints = staged(texts.mapInArrow(_print_rows(words, ("doc_id", "t1", "t2")), "doc_id long, t1 long, t2 long, fp long"), "simhash")
+    named = prints.join(classes(prints.select("doc_id", "fp"), bits).select("fp", "part"), "fp").select("doc_id", "t1", "t2", "part")
+    return without(docs, staged(stay_of_parts(named), "near-dups"), id_col, text_col)

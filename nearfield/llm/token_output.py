@@ -4,14 +4,16 @@ A static range asymmetric numeral system codes the ids under one frequency table
 ids of the corpus, scaled to 2^SCALE_BITS. A block holds whole documents up to BLOCK_TOKENS tokens (a longer document
 has blocks of its own) and is coded by LANES interleaved states, so it is independent of all others: numpy steps all
 lanes at once, and any task decodes any block. A checkpoint in the middle of each block (states and word position) lets
-a reader start there; a CRC-32 covers the block's ids.
+a reader start there: a block is read in two halves, the second from its checkpoint, and the first has to end in the
+state that the checkpoint says. A CRC-32 covers the block's ids.
 
-The files are a Parquet table of blocks in the shared folder (file_no, block_no, start_in_file, n_tokens, doc_ids,
-doc_tokens, doc_piece, words, states, check_words, check_states, crc32), in ascending doc_id order from file to file,
-block to block and within a block, and a table of frequencies beside it.
+The files are a folder in the shared one with two Parquet tables: `blocks` (file_no, block_no, start_in_file, n_tokens,
+doc_ids, doc_tokens, doc_no, doc_piece, words, states, check_words, check_states, crc32), in ascending doc_id order from
+file to file, block to block and within a block, and `frequencies` (id, freq). A reader needs the folder's name alone.
 
 Defined results. Null text counts as empty: the end id alone. Null doc_ids come first; rows that repeat a doc_id follow
-each other, ordered by their ids' CRC. Extra columns are ignored. An empty table gives no rows.
+each other, ordered by their ids' CRC. A very long text is cut into blocks of its own, whose CRCs are combined in order.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import discard, staged, whole
+from nearfield.llm.common import bounded_batches, discard, scratch_path, staged, whole
 from nearfield.llm.tokens import bpe
 
 SCALE_BITS, LANES, BLOCK_TOKENS = 20, 2048, 1 << 19
@@ -94,24 +96,34 @@ def encode_block(ids: np.ndarray, t: Table) -> Block:
     return Block(np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32), x, written - check[0], check[1])
 
 
-def decode_block(b: Block, n: int, t: Table, from_check: bool = False) -> np.ndarray:
-    """The n ids of a block; with from_check those from its checkpoint (step steps // 2) on."""
-    steps = max(1, -(-n // LANES))
-    first = steps // 2 if from_check else 0
-    x, at = (b.check_states.copy(), b.check_words) if from_check else (b.states.copy(), 0)
-    out = np.empty((steps - first, LANES), np.uint32)
+def _decode_steps(words: np.ndarray, states: np.ndarray, at: int, steps: int, t: Table) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ids of so many steps from a state and word position, and the state and position after them."""
+    x, out = states.copy(), np.empty((steps, LANES), np.uint32)
     mask = np.uint64((1 << SCALE_BITS) - 1)
-    for s in range(first, steps):
+    for s in range(steps):
         slot = x & mask
         symbol = t.symbol[slot]
-        out[s - first] = symbol
+        out[s] = symbol
         x = t.freq[symbol] * (x >> np.uint64(SCALE_BITS)) + slot - t.cum[symbol]
         low = x < _LOW
         k = int(np.count_nonzero(low))
         if k:
-            x[low] = (x[low] << _WORD) | b.words[at : at + k]
+            x[low] = (x[low] << _WORD) | words[at : at + k]
             at += k
-    return out.ravel()[: n - first * LANES]
+    return out.ravel(), x, at
+
+
+def decode_block(b: Block, n: int, t: Table, from_check: bool = False) -> np.ndarray:
+    """The n ids of a block; with from_check those from its checkpoint (step steps // 2) on. Raises if the halves don't meet."""
+    steps = max(1, -(-n // LANES))
+    half = steps // 2
+    rest = _decode_steps(b.words, b.check_states, b.check_words, steps - half, t)[0][: n - half * LANES]
+    if from_check:
+        return rest
+    first, states, at = _decode_steps(b.words, b.states, 0, half, t)
+    if at != b.check_words or not np.array_equal(states, b.check_states):
+        raise ValueError("a block doesn't meet its checkpoint")
+    return np.concatenate((first, rest))
 
 
 def crc32_combine(a: int, b: int, b_bytes: int) -> int:
@@ -179,20 +191,20 @@ def _block_rows(freq):
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         file_no, block_no, start, doc_no = None, 0, 0, 0
-        doc_ids, sizes, held = [], [], []
+        doc_ids, sizes, held, size = [], [], [], 0
 
         def block(ids: np.ndarray, piece: int) -> pa.RecordBatch:
-            nonlocal block_no, start, doc_ids, sizes, held, doc_no
+            nonlocal block_no, start, doc_ids, sizes, held, size, doc_no
             b = encode_block(ids, table)
             row = (file_no, block_no, start, len(ids), doc_ids, sizes, doc_no, piece, b.words.tobytes(), b.states.tobytes(), b.check_words, b.check_states.tobytes(), zlib.crc32(ids.astype("<u4").tobytes()))
             block_no, start, doc_no = block_no + 1, start + len(ids), doc_no + (len(doc_ids) if piece < 0 else 0)
-            doc_ids, sizes, held = [], [], []
+            doc_ids, sizes, held, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
             for file, doc_id, n, blob in zip(*(batch.column(c).to_pylist() for c in ("file_no", "doc_id", "n", "ids")), strict=True):
                 file_no = file
-                if held and sum(sizes) + n > BLOCK_TOKENS:
+                if held and size + n > BLOCK_TOKENS:
                     yield block(np.concatenate(held), -1)
                 ids = _unpacked(blob, n)
                 if n > BLOCK_TOKENS:
@@ -205,35 +217,40 @@ def _block_rows(freq):
                 doc_ids.append(doc_id)
                 sizes.append(n)
                 held.append(ids)
+                size += n
         if held:
             yield block(np.concatenate(held), -1)
 
     return rows
 
 
-@dataclass(frozen=True)
-class TokenFiles:
-    blocks: DataFrame
-    freq: np.ndarray
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
-    """Tokenize, count and write. Ids are kept compressed between the two passes, so each text is tokenized once."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Tokenize, count and write; returns the folder. Ids are kept compressed between the two passes, so each text is
+    tokenized once."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     ids = staged(rows.mapInArrow(_id_rows(tokenizer, end_id), "doc_id long, n long, crc long, ids binary"), "token-ids", codec="none")
     counted = ids.select("n", "ids").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary has
     known, n = counted.column("id").to_numpy(), counted.column("n").to_numpy()
     counts = np.zeros(int(known.max()) + 1 if len(known) else 1, np.int64)
     counts[known] = n
-    freq = scaled_frequencies(counts)
-    staged(spark.createDataFrame([(int(i), int(freq[i])) for i in np.nonzero(freq)[0]], "id long, freq long").coalesce(1), "token-frequencies")
+    freq, folder = scaled_frequencies(counts), scratch_path(spark, "tokens")
+    spark.createDataFrame([(int(i), int(freq[i])) for i in np.nonzero(freq)[0]], "id long, freq long").coalesce(1).write.parquet(f"{folder}/frequencies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
     dealt = dealt.select(F.spark_partition_id().alias("file_no"), "doc_id", "n", "ids")
-    blocks = staged(dealt.mapInArrow(_block_rows(spark.sparkContext.broadcast(freq)), _BLOCK), "token-blocks", codec="none")
+    dealt.mapInArrow(_block_rows(spark.sparkContext.broadcast(freq)), _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(ids)
-    return TokenFiles(blocks, freq)
+    return folder
+
+
+def read_frequencies(spark: SparkSession, folder: str) -> np.ndarray:
+    got = spark.read.parquet(f"{folder}/frequencies").toArrow()  # as many rows as the vocabulary has
+    ids = got.column("id").to_numpy()
+    freq = np.zeros(int(ids.max()) + 1, np.int64)
+    freq[ids] = got.column("freq").to_numpy()
+    return freq
 
 
 def _decoded_rows(freq):
@@ -258,33 +275,43 @@ def _decoded_rows(freq):
     return rows
 
 
-def _joined(parts: list) -> int:
-    crc = 0
-    for p in sorted(parts, key=lambda p: p["doc_piece"]):
-        crc = crc32_combine(crc, p["crc"], 4 * p["n"])
-    return crc
+_PARTS = "file_no int, doc_no long, doc_piece int, doc_id long, start long, n long, crc long"
 
 
-def read_tokens(files: TokenFiles) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    spark = files.blocks.sparkSession
-    ends = files.blocks.groupBy("file_no").agg(F.sum("n_tokens").alias("n")).orderBy("file_no").collect()  # a row per file
+def _joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts sorted by (file_no, doc_no, doc_piece) to a row per document."""
+    doc, held = None, None
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file_no", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    for batch in batches:
+        out = []
+        for file_no, doc_no, doc_id, start, n, crc in zip(*(batch.column(c).to_pylist() for c in ("file_no", "doc_no", "doc_id", "start", "n", "crc")), strict=True):
+            if (file_no, doc_no) != doc:
+                out += [held] if held else []
+                doc, held = (file_no, doc_no), [file_no, doc_id, start, 0, 0]
+            held[3], held[4] = held[3] + n, crc32_combine(held[4], crc, 4 * n)
+        yield batch_of(out)
+    yield batch_of([held] if held else [])
+
+
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document, from the files in the folder: doc_id, start, n_tokens, ids_crc32."""
+    blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks")
+    ends = blocks.groupBy("file_no").agg(F.sum("n_tokens").alias("n")).orderBy("file_no").collect()  # a row per file
     before, starts = 0, []
     for row in ends:
         starts.append((row["file_no"], before))
         before += row["n"]
     bases = F.broadcast(spark.createDataFrame(starts, "file_no int, base long"))
-    decode = _decoded_rows(spark.sparkContext.broadcast(files.freq))
-    kinds = "file_no int, doc_no long, doc_piece int, doc_id long, start long, n long, crc long"
-    one = files.blocks.where("doc_piece < 0").mapInArrow(decode, kinds).select("file_no", "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    rows = files.blocks.where("doc_piece >= 0").mapInArrow(decode, kinds)
-    crc = F.udf(_joined, "long", useArrow=False)
-    parts = rows.groupBy("file_no", "doc_no").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("doc_piece", "n", "crc")).alias("parts")
-    )
-    many = parts.select("file_no", "doc_id", "start", "n_tokens", crc("parts").alias("ids_crc32"))
+    decode = _decoded_rows(spark.sparkContext.broadcast(read_frequencies(spark, folder)))
+    one = blocks.where("doc_piece < 0").mapInArrow(decode, _PARTS).select("file_no", "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    parts = blocks.where("doc_piece >= 0").mapInArrow(decode, _PARTS).repartition("file_no", "doc_no").sortWithinPartitions("file_no", "doc_no", "doc_piece")
+    many = parts.mapInArrow(_joined_rows, "file_no int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return one.unionByName(many).join(bases, "file_no").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    return read_tokens(write_tokens(docs, tokenizer, end_id))
+    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer, end_id))

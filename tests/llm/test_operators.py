@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, components, exact_dedup, line_dedup, media, packing, piece_sampling, quality, simhash, token_output, warc
+from nearfield.llm import chat, common, components, exact_dedup, line_dedup, media, packing, piece_sampling, quality, simhash, token_output, warc
 from nearfield.llm.tokens import bpe, default_path
 
 TEXTS = [
@@ -35,7 +35,10 @@ def folded(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def test_exact_dedup(docs, empty):
+@pytest.mark.parametrize("broadcasts", [True, False])
+def test_exact_dedup(docs, empty, monkeypatch, broadcasts):
+    if not broadcasts:
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
     rows = docs.toPandas()
     rows["doc_id"] = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None)
     got = exact_dedup.decisions(docs).toPandas()
@@ -156,29 +159,47 @@ def test_packing_rounds_and_bounds(spark):
     rows = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1, 101, 600))], packing._PIECE)
     from nearfield.llm.common import staged
 
-    got = packing.pack(staged(rows, "t"), 100, partition_pieces=100).toPandas()
+    packed = packing.pack(staged(rows, "t"), 100, partition_pieces=100)
+    got, told = packed.sequences.toPandas(), packed.certificates.toPandas()
     fill = got.groupby("sequence_id")["length"].sum()
     bound = packing.lower_bound(got["length"].to_numpy(), 100)
     assert len(got) == 600 and fill.max() <= 100 and bound <= len(fill) <= bound * 1.03 + 1
+    assert packed.bins == len(fill) and packed.bound == bound
+    assert len(told) >= 6 and (told["bins"] >= told["bound"]).all() and (told["certified"] == (told["bins"] == told["bound"])).all()
+    # the bins of each round that were not given up, and those of the last round, are the sequences
+    last = told["turn"].max()
+    assert told.loc[told["turn"] < last, "bins"].sum() - told.loc[told["turn"] < last, "given_up"].sum() + told.loc[told["turn"] == last, "bins"].sum() >= packed.bins
     assert packing.lower_bound(np.array([60, 60, 60, 41]), 100) == 3 or packing.lower_bound(np.array([60, 60, 60, 41]), 100) == 4
     assert packing.lower_bound(np.array([34, 34, 34, 34, 34]), 100) >= 3
 
 
-def test_media(docs, empty):
+def brute_media(text):
+    """All of op4's columns but doc_id, from the text alone."""
+    data = (text or "").encode()
+    payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+    image = f"P5\n64 {len(payload) // 64}\n255\n".encode() + payload
+    steps = sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False))
+    feature = f"n={len(payload)};sum={sum(payload)};squares={sum(b * b for b in payload)};min={min(payload)};max={max(payload)};distinct={len(set(payload))};edges={steps}"
+    return (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature)
+
+
+@pytest.mark.parametrize("broadcasts", [True, False])
+def test_media(docs, empty, monkeypatch, broadcasts):
+    if not broadcasts:
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
     got = media.stored_features(docs).toPandas()
-    assert len(got) == len(docs.toPandas())
-    want = {}
-    for t in docs.toPandas()["text"]:
-        data = (t or "").encode()
-        p = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
-        want[hashlib.sha256(p).hexdigest()] = (len(p), zlib.crc32(p[-64:]))
-    for r in got.itertuples():
-        assert want[r.payload_sha256] == (r.payload_bytes, r.tail_crc32)
+    columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    want = sorted((str(r.doc_id), *brute_media(r.text)) for r in docs.toPandas().itertuples())
+    assert want == sorted((str(r[0]), *r[1:]) for r in got[["doc_id", *columns]].itertuples(index=False))
     assert media.stored_features(empty).count() == 0
 
 
 def test_cuts_follow_content():
     a = np.random.default_rng(0).integers(0, 256, 200_000, dtype=np.uint8)
+    in_slices = media.cut_candidates(a)
+    whole_size, media.SLICE_BYTES = media.SLICE_BYTES, 1_000
+    assert np.array_equal(media.cut_candidates(a), in_slices)
+    media.SLICE_BYTES = whole_size
     shifted = np.concatenate([np.zeros(777, np.uint8), a])
     cuts = [{bytes(x[s:e].tobytes()) for s, e in zip([0, *ends], ends, strict=False)} for x in (a, shifted) for ends in [media.chunk_ends(len(x), media.cut_candidates(x))]]
     assert len(cuts[0] & cuts[1]) > 0.9 * len(cuts[0])
@@ -186,7 +207,8 @@ def test_cuts_follow_content():
 
 def test_chat(spark, empty):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a </s>[INST] b\x1a\x1ac <|end|>\n x"), (1, 2, None, None), (2, 0, "assistant", ""), (None, 5, "assistant", "é"), (2, None, "user", "<|say|>")]
-    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"data": F.lit("clash"), "part": F.lit(9), "starts": F.lit(None)})
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(table)).collect()}
     for conv in (1, 2, None):
         mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))
         turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine)
@@ -235,7 +257,10 @@ def test_sampling_follows_the_lattice():
         assert abs(drawn.get(p, 0) / n - w / total) < 0.04
 
 
-def test_warc(spark, monkeypatch):
+@pytest.mark.parametrize("broadcasts", [True, False])
+def test_warc(spark, monkeypatch, broadcasts):
+    if not broadcasts:
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(warc, "CHUNK", 16)
     pages = [(5, "http://a/\r\nX: y", "same payload, longer than a chunk"), (2, "http://b", "same payload, longer than a chunk"), (3, None, None), (4, "u", ""), (7, "u", "é" * 30), (2, "http://b", "same payload, longer than a chunk")]
     rows = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
@@ -251,7 +276,10 @@ def test_warc(spark, monkeypatch):
     assert warc.read_records(warc.write_records(rows.limit(0))).count() == 0
 
 
-def test_line_dedup(spark, docs, empty):
+@pytest.mark.parametrize("broadcasts", [True, False])
+def test_line_dedup(spark, docs, empty, monkeypatch, broadcasts):
+    if not broadcasts:
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
     got = line_dedup.deduplicated_lines(docs, min_docs=3).toPandas()
     key = lambda x: folded(x.strip(" \t\n\x0b\x0c\r"))
     texts = [t or "" for t in docs.toPandas()["text"]]
@@ -297,8 +325,8 @@ def test_quality_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(3)) == 0
     out = quality.judged(docs, quality.train(docs, labels.where(~held)), F.col("source"), F.col("lang"))
-    got = out.select("doc_id", "__nf_keep").join(labels.where(held), "doc_id").toPandas()
-    assert (got["__nf_keep"] == (got["quality"] == 1)).mean() > 0.97
+    got = out.select("doc_id", "judgement.kept").join(labels.where(held), "doc_id").toPandas()
+    assert (got["kept"] == (got["quality"] == 1)).mean() > 0.97
 
 
 def test_quality_edges(spark, docs, empty):
