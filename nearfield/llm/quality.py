@@ -41,10 +41,12 @@ FLOOR, STRENGTH = 0.001, (1.0, 1e6)
 BLOCK, BACK = 1 << 18, 1 << 12
 #: Buckets of each kind of n-gram.
 GRAMS = 256
-N_FEATURES = 129 + 3 * GRAMS + 3
+N_FEATURES = 129 + 3 * GRAMS + 5
+_TOTALS = 5  # words, words equal to the one before, bytes of words, words without a letter or digit, doubled signs
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_ALNUM = np.array([bytes([i]).isalnum() or i > 127 for i in range(256)])
 _PLACE = np.power(np.uint64(0xD6E8FEB86659FD93), np.arange(64, dtype=np.uint64))
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
 
@@ -54,7 +56,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _block_counts(x: np.ndarray, counts: np.ndarray) -> None:
-    """Add a block's counts: bytes, three-byte grams, words, pairs of words, words, repeated words, characters of words."""
+    """Add a block's counts: bytes, three-byte grams, words, pairs of words, _TOTALS."""
     counts[:256] += np.bincount(x, minlength=256)
     low = _LOWER[x]
     if len(x) > 2:
@@ -70,13 +72,16 @@ def _block_counts(x: np.ndarray, counts: np.ndarray) -> None:
     counts[256 + GRAMS : 256 + 2 * GRAMS] += np.bincount(_bucket(words), minlength=GRAMS)
     pairs = words[:-1] * np.uint64(3) + words[1:]
     counts[256 + 2 * GRAMS : 256 + 3 * GRAMS] += np.bincount(_bucket(pairs), minlength=GRAMS)
-    counts[-3:] += len(words), int((words[1:] == words[:-1]).sum()), len(inside)
+    signs = np.add.reduceat(_ALNUM[x[inside]].astype(np.int64), np.searchsorted(inside, starts)) == 0
+    doubled = (x[1:] == x[:-1]) & ~_ALNUM[x[1:]] & ~blank[1:]
+    counts[-_TOTALS:] += len(words), int((words[1:] == words[:-1]).sum()), len(inside), int(signs.sum()), int(doubled.sum())
 
 
 def features(text: str) -> np.ndarray:
-    """Root shares of n-grams, shares of ASCII bytes, of others and of repeated words, and how long words and text are."""
+    """Root shares of n-grams, shares of ASCII bytes and others, of repeated words, words of signs and doubled signs, and
+    how long words and text are."""
     data = np.frombuffer(text.encode(), np.uint8)
-    counts, at = np.zeros(256 + 3 * GRAMS + 3, np.int64), 0
+    counts, at = np.zeros(256 + 3 * GRAMS + _TOTALS, np.int64), 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
         if end < len(data):
@@ -84,10 +89,11 @@ def features(text: str) -> np.ndarray:
             end = end - BACK + int(gaps[-1]) + 1 if len(gaps) else end
         _block_counts(data[at:end], counts)
         at = end
-    n, words = max(1, len(data)), max(1, int(counts[-3]))
+    again, letters, signs, doubled = counts[1 - _TOTALS :].tolist()
+    n, words = max(1, len(data)), max(1, int(counts[-_TOTALS]))
     grams = counts[256 : 256 + 3 * GRAMS].reshape(3, GRAMS)
     rooted = np.sqrt(grams / np.maximum(1, grams.sum(1, keepdims=True)))
-    extra = [counts[128:256].sum() / n, counts[-2] / words, math.log1p(counts[-1] / words) / 5, math.log1p(n) / 20]
+    extra = [counts[128:256].sum() / n, again / words, math.log1p(letters / words) / 5, math.log1p(n) / 20, signs / words, doubled / words]
     return np.concatenate([counts[:128] / n, rooted.ravel(), extra]).astype(np.float32)
 
 
@@ -104,13 +110,13 @@ class Model:
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> Model:
     """Ridge logistic regression by Newton steps."""
     if len(y) == 0 or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), math.log(rate / (1 - rate))), False)
     mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
-    w, penalty = np.zeros(N_FEATURES + 1), np.full(N_FEATURES + 1, ridge)
+    w, penalty = np.zeros(N_FEATURES + 1), np.full(N_FEATURES + 1, float(ridge))
     penalty[-1] = 1e-6
     for _ in range(steps):
         curve, slope = np.diag(penalty), -penalty * w
