@@ -39,9 +39,9 @@ THRESHOLD = 0.5
 FLOOR, STRENGTH = 0.001, (1.0, 1e6)
 #: Bytes looked at together, and how far back a block's end is moved to white space.
 BLOCK, BACK = 1 << 18, 1 << 12
-#: Buckets of each kind of n-gram.
-GRAMS = 256
-N_FEATURES = 129 + 3 * GRAMS + 5
+#: Buckets of each kind of n-gram, and how much more their many weights are held back than those of the other features.
+GRAMS, GRAM_RIDGE = 256, 30.0
+N_FEATURES = 129 + 3 * GRAMS + 8
 _TOTALS = 5  # words, words equal to the one before, bytes of words, words without a letter or digit, doubled signs
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,8 +78,8 @@ def _block_counts(x: np.ndarray, counts: np.ndarray) -> None:
 
 
 def features(text: str) -> np.ndarray:
-    """Root shares of n-grams, shares of ASCII bytes and others, of repeated words, words of signs and doubled signs, and
-    how long words and text are."""
+    """Root shares of n-grams and how few hold most of them, shares of ASCII bytes and others, of repeated words, words of
+    signs and doubled signs, and how long words and text are."""
     data = np.frombuffer(text.encode(), np.uint8)
     counts, at = np.zeros(256 + 3 * GRAMS + _TOTALS, np.int64), 0
     while at < len(data):
@@ -94,7 +94,7 @@ def features(text: str) -> np.ndarray:
     grams = counts[256 : 256 + 3 * GRAMS].reshape(3, GRAMS)
     rooted = np.sqrt(grams / np.maximum(1, grams.sum(1, keepdims=True)))
     extra = [counts[128:256].sum() / n, again / words, math.log1p(letters / words) / 5, math.log1p(n) / 20, signs / words, doubled / words]
-    return np.concatenate([counts[:128] / n, rooted.ravel(), extra]).astype(np.float32)
+    return np.concatenate([counts[:128] / n, rooted.ravel(), np.sqrt((rooted**4).sum(1)), extra]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -117,6 +117,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> Mo
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), math.log(rate / (1 - rate))), False)
     mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
     w, penalty = np.zeros(N_FEATURES + 1), np.full(N_FEATURES + 1, float(ridge))
+    penalty[128 : 128 + 3 * GRAMS] *= GRAM_RIDGE
     penalty[-1] = 1e-6
     for _ in range(steps):
         curve, slope = np.diag(penalty), -penalty * w
