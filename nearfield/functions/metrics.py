@@ -74,6 +74,8 @@ def distance(a: Column, b: Column, metric: str = "l2", arg: float = 2.0) -> Colu
     if metric == "gower":
         terms = F.filter(_zip(a, b, _gower), lambda t: t.isNotNull())
         return _ratio(_sum(terms), F.size(terms).cast("double"))
+    if metric == "hamming":  # of arrays of words
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.cast("long").bitwiseXOR(y.cast("long")))), F.lit(0), lambda s, x: s + x).cast("double")
     if metric == "cosine":
         norms = F.sqrt(distance(a, a, "ip")) * F.sqrt(distance(b, b, "ip"))
         return F.when(norms == 0, F.lit(0.0)).otherwise(distance(a, b, "ip") / F.when(norms != 0, norms))
@@ -112,6 +114,8 @@ def block(q: np.ndarray, x: np.ndarray, metric: str, arg: float = 2.0) -> np.nda
             some = ~(np.isnan(x) | np.isnan(q))
             out = np.where(some, t, 0.0).sum(1) / some.sum(1)
             return np.where(np.isfinite(out), out, np.nan)
+        if metric == "hamming":  # words of 32 bits, which doubles hold exactly
+            return np.bitwise_count(x.astype(np.int64) ^ q.astype(np.int64)).sum(1).astype(np.float64)
         if metric == "cosine":
             norms = np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum())
             return np.where(norms == 0, 0.0, (x * q).sum(1) / np.where(norms == 0, 1.0, norms))

@@ -57,6 +57,24 @@ def words(bit_array: Column, n: int) -> Column:
     ))
 
 
+def unpacked(packed: Column, n: int) -> Column:
+    """The first n bits of an array of words, 0 or 1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(F.get(packed, F.floor(i / 32).cast("int")), i % 32).cast("int"))
+
+
+def packed_codes(code: Column, bits_: int, n: int) -> Column:
+    """n codes of bits_ bits each, lowest first, as one array of words."""
+    every = F.flatten(F.transform(code, lambda c: F.transform(F.sequence(F.lit(0), F.lit(bits_ - 1)), lambda i: F.getbit(c.cast("long"), i).cast("int"))))
+    return words(every, bits_ * n)
+
+
+def unpacked_codes(packed: Column, bits_: int, n: int) -> Column:
+    """The codes that packed_codes packed."""
+    every = F.transform(F.array(unpacked(packed, bits_ * n)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate(
+        F.sequence(F.lit(0), F.lit(bits_ - 1)), F.lit(0), lambda s, i: s + F.get(b, j * bits_ + i) * F.pow(F.lit(2), i).cast("int"))))
+    return F.get(every, F.lit(0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two arrays of words."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

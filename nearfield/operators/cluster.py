@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.search import _matrix
+from nearfield.operators.search import _matrix, best_of
 
 
 @dataclass(frozen=True)
@@ -25,12 +25,8 @@ class Clusters:
 
 def _assigned(x: np.ndarray, c: np.ndarray, spherical: bool) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid (ties to the smallest number) and the squared distance or inner product."""
-    if spherical:
-        s = x @ c.T
-        best = s.argmax(1)
-        return best, s[np.arange(len(x)), best]
-    best = ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
-    return best, ((x - c[best]) ** 2).sum(1)
+    best = best_of(x, c, "ip" if spherical else "l2")
+    return best, (x * c[best]).sum(1) if spherical else ((x - c[best]) ** 2).sum(1)
 
 
 def _sum_rows(shared, spherical: bool):
@@ -133,12 +129,15 @@ def _afk_mc2(x: np.ndarray, k: int, rng: np.random.Generator, chain: int = 50) -
 
 def kmeans(
     rows: DataFrame, k: int, iterations: int = 25, redo: int = 1, seed: int = 1234, init: str | np.ndarray = "random", weight: str | None = None,
-    spherical: bool = False, integer: bool = False, frozen: int = 0, tolerance: float = 0.0, sample_per_centroid: int = 256,
+    spherical: bool = False, integer: bool = False, frozen: int = 0, tolerance: float = 0.0, sample_per_centroid: int = 256, max_points: int | None = None,
 ) -> Clusters:
-    """Lloyd's iterations over all rows (vec); the best of `redo` runs. Initial centroids come from a bounded sample
+    """Lloyd's iterations over all rows (vec), or over about max_points a centroid, those with the smallest seeded hashes of
+    the vector; the best of `redo` runs. Initial centroids come from a bounded sample
     (k * sample_per_centroid rows by seeded hash): random, "++", "afkmc2", or given. Stops early when the objective
     changes by no more than `tolerance` of itself."""
     best: Clusters | None = None
+    if max_points is not None and (n := rows.where("vec is not null").count()) > max_points * k:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec"), F.lit(1 << 30)) < int((1 << 30) * max_points * k / n))
     pool = None if isinstance(init, np.ndarray) else _sample(rows, k * (1 if init == "random" else sample_per_centroid), seed)
     if pool is not None and len(pool) < k:
         raise ValueError("fewer rows than clusters")
@@ -171,6 +170,50 @@ def kmeans(
     return best
 
 
+def kmeans_codes(rows: DataFrame, decode, k: int, **kw) -> Clusters:
+    """k-means of vectors that are kept as codes: rows (id, code), decode(rows) to (id, vec)."""
+    return kmeans(decode(rows), k, **kw)
+
+
+def kmeans_sparse(rows: DataFrame, d: int, k: int, iterations: int = 10, seed: int = 1234) -> Clusters:
+    """k-means of sparse rows (dims array<int>, vals array<double>, rising dims) of d dimensions; centroids are dense. A
+    row is compared by its own dimensions: |c|^2 - 2 <x, c>."""
+    some = rows.where("dims is not null and vals is not null").select("dims", "vals")
+    first = some.withColumn("h", F.xxhash64(F.lit(seed), "dims", "vals")).orderBy("h").limit(k).toPandas()  # k rows
+    if len(first) < k:
+        raise ValueError("fewer rows than clusters")
+    c = np.zeros((k, d))
+    for i, (dims, vals) in enumerate(zip(first["dims"], first["vals"], strict=True)):
+        c[i, dims] = vals
+    objectives: list[float] = []
+    for _ in range(iterations):
+        shared = rows.sparkSession.sparkContext.broadcast(c)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            norms, total, n, cost = (c * c).sum(1), np.zeros_like(c), np.zeros(len(c), np.int64), np.zeros(len(c))
+            for batch in batches:
+                for dims, vals in zip(batch.column("dims").to_pylist(), batch.column("vals").to_pylist(), strict=True):
+                    v = np.array(vals)
+                    s = norms - 2 * c[:, dims] @ v
+                    at = int(s.argmin())
+                    total[at, dims] += v
+                    n[at] += 1
+                    cost[at] += float(s[at] + v @ v)
+            at, dim = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dim), pa.array(total[at, dim]), pa.array(np.zeros(len(at), np.int64))], names=["c", "dim", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.array(np.full(len(c), -1)), pa.array(cost), pa.array(n)], names=["c", "dim", "x", "n"])
+
+        got = some.mapInArrow(sums, "c long, dim long, x double, n long").groupBy("c", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()  # k (d + 1) rows
+        heads, body = got[got["dim"] < 0], got[got["dim"] >= 0]
+        sizes, new = np.zeros(k), np.zeros((k, d))
+        sizes[heads["c"]] = heads["n"]
+        new[body["c"], body["dim"]] = body["x"]
+        c = np.where(sizes[:, None] > 0, new / np.maximum(1, sizes)[:, None], c)
+        objectives.append(float(heads["x"].sum()))
+    return Clusters(c, objectives)
+
+
 def kmeans_1d(values: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     """Exact 1-D k-means of a bounded column by dynamic programming with divide and conquer: centroids, objective."""
     x = np.sort(np.asarray(values, np.float64))

@@ -1,65 +1,54 @@
 """Inverted lists of codes: product codes of residuals with refinement and a Hamming screen, product-cell lists, two-layer codes.
 
-Look-up tables are made per (query, probed list) by matrix products and meet the codes in an equi-join on list_no.
+A task makes the look-up tables of the queries that probe a list when it meets rows of that list; codes are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import descending, distance
 from nearfield.functions.vectors import minus, plus
-from nearfield.operators.codecs import ProductQuantizer
-from nearfield.operators.ivf import InvertedFile
-from nearfield.operators.search import _matrix, ranked
-
-
-def _lists(flat: np.ndarray, width: int) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) // width + 1) * width, pa.int32()), pa.array(flat))
-
-
-def _appended(rows: DataFrame, source: str, out: str, kind: str, f) -> DataFrame:
-    """rows with a further list column f(matrix of source), a few hundred rows at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                y = f(_matrix(part.column(source)))
-                y = y.reshape(len(y), -1).astype(np.int32 if kind == "int" else np.float64)
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(y.ravel(), y.shape[1])], names=[*part.schema.names, out])
-
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` array<{kind}>"])
-    return rows.mapInArrow(run, kinds)
-
-
-def _cells(x: np.ndarray, books: np.ndarray, metric: str = "l2") -> np.ndarray:
-    """(n, m, K): scores of each sub-vector with each centroid of its book."""
-    parts = x.reshape(len(x), len(books), -1)
-    dots = np.einsum("nmd,mkd->nmk", parts, books)
-    if descending(metric):
-        return dots
-    return ((parts[:, :, None] - books[None]) ** 2).sum(3) if x.size * books.shape[1] < 4_000_000 else (parts**2).sum(2)[:, :, None] - 2 * dots + (books**2).sum(2)[None]
+from nearfield.operators.codecs import ProductQuantizer, appended
+from nearfield.operators.ivf import InvertedFile, named_lists, probed_blocks, runs_of_lists
+from nearfield.operators.search import _matrix, ranked, searched, within_radius
 
 
 def product_codes(rows: DataFrame, pq: ProductQuantizer, source: str = "vec", out: str = "code") -> DataFrame:
-    """rows with product codes of a column, by matrix products: for books too large for column expressions."""
-    return _appended(rows, source, out, "int", lambda x: _cells(x, pq.codebook).argmin(2))
+    """rows with product codes of a column."""
+    return appended(rows, source, out, "int", pq.encode_matrix)
 
 
 def product_vectors(rows: DataFrame, pq: ProductQuantizer, source: str = "code", out: str = "vec") -> DataFrame:
-    m = len(pq.codebook)
-    return _appended(rows, source, out, "double", lambda c: pq.codebook[np.arange(m)[None], c.astype(np.int64)])
-
-
-def _hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return appended(rows, source, out, "double", pq.decode_matrix)
+
+
+def _in_coded_lists(pq: ProductQuantizer, metric: str, screen: int | None):
+    def scored(shared, batch: pa.RecordBatch, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        _, q, asked, centroids = shared
+        codes = _matrix(batch.column("code")).astype(np.int64) if batch.num_rows else None
+        books = np.arange(len(pq.codebook))
+        for name, places, who in runs_of_lists(batch, asked):
+            c, own = centroids[name], codes[places]
+            coarse = q[who] @ c if descending(metric) else np.zeros(len(who))
+            for a in range(0, len(who), 256):
+                some = who[a : a + 256]
+                tables = pq.cells(q[some] if descending(metric) else q[some] - c, metric)
+                for j, table in enumerate(tables):
+                    s = table[books, own].sum(1) + coarse[a + j]
+                    if screen is not None:
+                        s = np.where(np.bitwise_count(own ^ table.argmin(1)[None]).sum(1) < screen, s, np.nan)
+                    at = keep(s)
+                    yield int(some[j]), places[at], s[at]
+
+    return scored
 
 
 @dataclass(frozen=True)
@@ -80,44 +69,38 @@ class CodedLists:
             rows = product_codes(rows, fine, "vec", "fine")
         return cls(rows.drop("vec"), file.centroids, pq, fine, file.metric)
 
-    def _probed(self, queries: DataFrame, nprobe: int) -> DataFrame:
-        """qid, list_no, coarse, table: scores of the query's (L2: residual's) sub-vectors with all centroids."""
-        found = InvertedFile(self.rows, self.centroids, self.metric).probes(queries, nprobe).select("qid", "list_no", "coarse")
-        q = found.join(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid")
-        if not descending(self.metric):
-            q = q.join(self.centroids.select("list_no", F.col("vec").alias("c")), "list_no").withColumn("q", minus(F.col("q"), F.col("c"))).drop("c")
-        books, metric = self.pq.codebook, self.metric
-        return _appended(q, "q", "table", "double", lambda x: _cells(x, books, metric)).drop("q")
-
-    def hits(self, queries: DataFrame, nprobe: int, screen: int | None = None) -> DataFrame:
-        """qid, list_no, id, dist of the probed lists. screen: only codes with fewer differing bits than that from the
-        query's own code (L2 only)."""
-        k = self.pq.codebook.shape[1]
-        probed = self._probed(queries, nprobe)
-        if screen is not None:
-            if descending(self.metric):
-                raise ValueError("a Hamming screen needs L2")
-            own = F.transform(F.array(*map(F.lit, range(len(self.pq.codebook)))), lambda m: F.array_position(F.slice("table", m * k + 1, F.lit(k)), F.array_min(F.slice("table", m * k + 1, F.lit(k)))).cast("int") - 1)
-            probed = probed.withColumn("own", own)
-        out = probed.join(self.rows, "list_no")
-        if screen is not None:
-            out = out.where(_hamming(F.col("own"), F.col("code")) < screen)
-        score = F.aggregate(F.transform("code", lambda c, m: F.get("table", m * k + c)), F.lit(0.0), lambda s, x: s + x)
-        return out.select("qid", "list_no", "id", (score + F.col("coarse") if descending(self.metric) else score).alias("dist"))
-
-    def search(self, queries: DataFrame, k: int, nprobe: int = 1, screen: int | None = None) -> DataFrame:
-        return ranked(self.hits(queries, nprobe, screen), k, self.metric).select("qid", "rank", "id", "dist")
+    def add_codes(self, rows: DataFrame) -> CodedLists:
+        """Rows that are already codes, of the same columns."""
+        return replace(self, rows=self.rows.unionByName(rows.select(*self.rows.columns)))
+
+    def hits(self, queries: DataFrame, nprobe: int, k: int | None = None, radius: float | None = None, screen: int | None = None, probes: DataFrame | None = None) -> DataFrame:
+        """qid, id, dist of the probed lists (or of probes: qid, list_no). screen: only codes with fewer differing bits than that from the query's own
+        code (L2 only)."""
+        if screen is not None and descending(self.metric):
+            raise ValueError("a Hamming screen needs L2")
+        file = InvertedFile(self.rows, self.centroids, self.metric)
+        numbers, c = file._lists
+        rows = self.rows.select("list_no", F.col("id").cast("long").alias("id"), "code")
+        sc, parts = rows.sparkSession.sparkContext, []
+        for qid, q, asked, names in probed_blocks(queries, file.probes(queries, nprobe) if probes is None else probes):
+            some = np.isin(numbers, names)
+            shared = sc.broadcast((qid, q, asked, dict(zip(numbers[some].tolist(), c[some], strict=True))))
+            parts.append(searched(named_lists(rows, names), shared, _in_coded_lists(self.pq, self.metric, screen), self.metric, k, radius))
+        return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], "qid long, id long, dist double")
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 1, screen: int | None = None, probes: DataFrame | None = None) -> DataFrame:
+        return ranked(self.hits(queries, nprobe, k, screen=screen, probes=probes), k, self.metric).select("qid", "rank", "id", "dist")
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1) -> DataFrame:
-        out = self.hits(queries, nprobe)
-        return out.where(F.col("dist") > radius if descending(self.metric) else F.col("dist") < radius).select("qid", "id", "dist")
+        return within_radius(self.hits(queries, nprobe, radius=radius), radius, self.metric)
 
-    def search_refined(self, queries: DataFrame, k: int, nprobe: int = 1, factor: float = 4.0) -> DataFrame:
+    def search_refined(self, queries: DataFrame, k: int, nprobe: int = 1, factor: float = 4.0, probes: DataFrame | None = None) -> DataFrame:
         """The k * factor best by the first code, rescored with both codes."""
         if self.fine is None:
             raise ValueError("no fine codes")
-        first = ranked(self.hits(queries, nprobe), int(k * factor), self.metric).select("qid", "list_no", "id")
-        out = first.join(self.decode().select("list_no", "id", "vec"), ["list_no", "id"])
+        many = int(k * factor)
+        first = ranked(self.hits(queries, nprobe, many, probes=probes), many, self.metric).select("qid", "id")
+        out = first.join(self.decode().select("id", "vec"), "id")
         out = out.join(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid")
         return ranked(out.select("qid", "id", distance(F.col("q"), F.col("vec"), self.metric).alias("dist")), k, self.metric).select("qid", "rank", "id", "dist")
 
@@ -143,12 +126,12 @@ class ProductCells:
     def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
         """qid, list_no, rank, coarse: the cells with the smallest sums. Only sub-centroids that are among a sub-space's
         nprobe best can be part of them, and partial sums are cut to nprobe after each sub-space."""
-        books = self.pq.codebook
+        pq = self.pq
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for qid, t in zip(batch.column("id").to_pylist(), _cells(_matrix(batch.column("vec")), books), strict=True):
+                for qid, t in zip(batch.column("id").to_pylist(), pq.cells(_matrix(batch.column("vec"))), strict=True):
                     sums, cells = np.zeros(1), np.zeros(1, np.int64)
                     for m, row in enumerate(t):
                         near = np.lexsort((np.arange(len(row)), row))[:nprobe]

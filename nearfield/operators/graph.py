@@ -1,60 +1,100 @@
-"""Graph indexes. NN-descent is an iterated self-join over the whole table. HNSW and NSG graphs are built per shard, a
-bounded number of rows dealt by a hash of the (unique) id; every query walks every shard and the shards' k best are merged.
-Distances are squared L2. Null vectors are left out."""
+"""Graph indexes. NN-descent is an iterated join over the whole table. HNSW and NSG graphs are built per shard, a bounded
+number of rows dealt by a hash of the (unique) id; every query walks every shard and the shards' k best are merged.
+Distances are squared L2. Null vectors are left out. Rows of a graph hold vectors, or codes of them: then the walk goes
+over what the codes give back."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.lineage import cut
-from nearfield.operators.search import _query_blocks, pair_scores, ranked
+from nearfield.operators.search import _matrix, _query_blocks, pair_scores, ranked
 
 #: Rows of a shard on average, and rows of one ring when NN-descent draws its first neighbours.
 SHARD_ROWS, RING_ROWS = 20_000, 4_096
+#: Neighbours that NN-descent proposes to each row of a meeting.
+PROPOSED = 4
 
 
 def _best_edges(edges: DataFrame, k: int) -> DataFrame:
-    best = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    return ranked(best.select("src", F.col("dst").alias("id"), "dist"), k, key="src").select("src", F.col("id").alias("dst"), "dist")
-
-
-def _scored(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    got = pair_scores(pairs.select(F.col("src").alias("qid"), F.col("dst").alias("id")), base, base)
-    return got.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-
-
-def nn_descent(base: DataFrame, k: int, iterations: int = 8, reach: int | None = None, seed: int = 1234, stop: float = 0.001) -> DataFrame:
+    """The k best edges (src, dst, dist, new) of each row; an edge is new if it is in all its copies."""
+    best = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
+    return ranked(best.withColumnRenamed("dst", "id"), k, key="src").select("src", F.col("id").alias("dst"), "dist", "new")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (via, dst): the vectors that a row knows, compared with each other; pairs of old ones are known."""
+    at, ids, fresh, vecs = None, [], [], []
+
+    def met() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n = len(ids)
+        if n < 2 or not any(fresh):
+            return
+        x, who, new = np.array(vecs), np.array(ids), np.array(fresh)
+        norms = (x * x).sum(1)
+        d = norms[:, None] + norms[None] - 2 * x @ x.T
+        d[~(new[:, None] | new[None]) | (who[:, None] == who[None])] = np.inf
+        near = np.argpartition(d, min(PROPOSED, n) - 1, 1)[:, :PROPOSED]
+        src, dst = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+        some = np.isfinite(d[src, dst])
+        src, dst = src[some], dst[some]
+        yield who[src], who[dst], ((x[src] - x[dst]) ** 2).sum(1)
+
+    for batch in batches:
+        out = []
+        x = _matrix(batch.column("vec"))
+        for i, (via, dst, new) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("via", "dst", "new")), strict=True)):
+            if via != at:
+                out += met()
+                at, ids, fresh, vecs = via, [], [], []
+            ids.append(dst)
+            fresh.append(new)
+            vecs.append(x[i])
+        yield _pairs(out)
+    yield _pairs(list(met()))
+
+
+def _pairs(out: list) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["src", "dst", "dist"])
+
+
+def nn_descent(base: DataFrame, k: int, iterations: int = 8, held: int | None = None, seed: int = 1234, stop: float = 0.001) -> DataFrame:
     """An approximate k-NN graph: src, rank, dst, dist.
 
-    While it runs, max(16, 2 k) neighbours are held. The first are the next ones in rings of rows ordered by a hash. Each
-    iteration joins, at every vertex, up to `reach` of its neighbours in both directions (drawn by hash: no vertex makes more than reach ** 2 pairs), scores the
-    pairs and keeps the best. It ends when at most `stop` of the edges are new."""
-    rows = base.where("vec is not null").select(F.col("id").cast("long").alias("id"), "vec")
-    held = max(16, 2 * k)
-    reach = reach or held
+    While it runs, `held` neighbours are kept (32 or 4 k). The first are the next ones in rings of rows ordered by a hash.
+    In each iteration every row brings together its neighbours and up to `held` rows that have it as theirs (drawn by hash,
+    so a hub meets no more than others); pairs of which one is new to it are compared where they meet, and each row is
+    proposed its PROPOSED nearest. It ends when at most `stop` of the edges are new."""
+    rows = base.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    held = held or max(32, 4 * k)
     rings = max(1, -(-rows.count() // RING_ROWS))
     h = rows.select("id", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("ring", F.pmod("h", F.lit(rings)))
     after = F.collect_list("id").over(Window.partitionBy("ring").orderBy("h", "id").rowsBetween(1, held))
     first = h.select(F.col("id").alias("src"), after.alias("dsts")).select("src", F.explode("dsts").alias("dst")).where("src <> dst")
-    edges = cut(_best_edges(_scored(first.unionByName(first.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rows), held))
+    first = first.unionByName(first.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    scored = pair_scores(first.select(F.col("src").alias("qid"), F.col("dst").alias("id")), rows, rows).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
+    edges = cut(_best_edges(scored.withColumn("new", F.lit(True)), held))
     for turn in range(iterations):
-        both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        w = Window.partitionBy("src").orderBy(F.xxhash64("dst", F.lit(seed + turn)), "dst")
-        near = both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= reach).select("src", "dst")
-        met = near.select(F.col("src").alias("via"), F.col("dst").alias("src")).join(near.select(F.col("src").alias("via"), "dst"), "via")
-        pairs = met.where("src <> dst").select("src", "dst").distinct().join(edges, ["src", "dst"], "left_anti")
-        now = cut(_best_edges(edges.unionByName(_scored(pairs, rows)), held))
-        new = now.join(edges, ["src", "dst"], "left_anti").count()
+        w = Window.partitionBy("via").orderBy(F.xxhash64("dst", F.lit(seed + turn)), "dst")
+        back = edges.select(F.col("dst").alias("via"), F.col("src").alias("dst"), "new").withColumn("n", F.row_number().over(w)).where(F.col("n") <= held).drop("n")
+        known = edges.select(F.col("src").alias("via"), "dst", "new").unionByName(back).groupBy("via", "dst").agg(F.max("new").alias("new"))
+        near = known.join(rows.select(F.col("id").alias("dst"), "vec"), "dst").select("via", "dst", "new", "vec").repartition("via").sortWithinPartitions("via", "dst")
+        proposed = near.mapInArrow(_meetings, "src long, dst long, dist double").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+        now = cut(_best_edges(edges.withColumn("new", F.lit(False)).unionByName(proposed.withColumn("new", F.lit(True))), held))
+        new, every = now.agg(F.count(F.when(F.col("new"), 1)), F.count("*")).first()
         edges = now
-        if new <= stop * edges.count():
+        if new <= stop * every:
             break
     out = ranked(edges.select("src", F.col("dst").alias("id"), "dist"), k, key="src")
     return out.select("src", "rank", F.col("id").alias("dst"), "dist")
@@ -82,14 +122,34 @@ def _walk(q: np.ndarray, x: np.ndarray, links: Callable[[int], list[int]], start
 
 
 def _spread(found: list[tuple[float, int]], x: np.ndarray, most: int) -> list[int]:
-    """Of candidates by distance, those nearer to the point than to any one kept before."""
-    kept: list[int] = []
+    """Of candidates by distance, those nearer to the point than to any one kept before; room that is left goes to the
+    nearest of the others, since sets in which a few rows are near to all would otherwise keep hardly a link."""
+    kept, others = [], []
     for d, j in found:
         if len(kept) >= most:
             break
         if not kept or (((x[kept] - x[j]) ** 2).sum(1) >= d).all():
             kept.append(j)
-    return kept
+        else:
+            others.append(j)
+    return kept + others[: most - len(kept)]
+
+
+def _reaching_all(out: list[list[int]], x: np.ndarray, root: int) -> None:
+    """Links from the nearest row that is reached to rows that aren't, until all are."""
+    reached, todo = np.zeros(len(x), bool), [root]
+    reached[root] = True
+    while True:
+        while todo:
+            fresh = [j for j in out[todo.pop()] if not reached[j]]
+            reached[fresh] = True
+            todo += fresh
+        if reached.all():
+            return
+        lost, have = int(np.flatnonzero(~reached)[0]), np.flatnonzero(reached)
+        out[have[((x[have] - x[lost]) ** 2).sum(1).argmin()]].append(lost)
+        reached[lost] = True
+        todo = [lost]
 
 
 def _sorted_by(i: int, others: list[int], x: np.ndarray) -> list[tuple[float, int]]:
@@ -109,55 +169,91 @@ def _hnsw_links(x: np.ndarray, m: int, ef: int, seed: int) -> list[list[list[int
             if level > tops[i]:
                 continue
             most = 2 * m if level == 0 else m
-            out[i][level] = _spread(found, x, m)
+            out[i][level] = _spread(found, x, most)
             for j in out[i][level]:
                 out[j][level].append(i)
                 if len(out[j][level]) > most:
                     out[j][level] = _spread(_sorted_by(j, out[j][level], x), x, most)
         if tops[i] > tops[entry]:
             entry = i
+    if len(x):
+        ground = [levels[0] for levels in out]  # the lists themselves
+        _reaching_all(ground, x, entry)
     return out
 
 
 def _nsg_links(x: np.ndarray, m: int, pool: int) -> tuple[list[list[list[int]]], int]:
-    """A pruned exact k-NN graph in which the row nearest to the mean reaches all others; and that row."""
+    """A pruned exact k-NN graph, its links also turned back, in which the row nearest to the mean reaches all others; and
+    that row."""
     n, norms, out = len(x), (x * x).sum(1), []
     for a in range(0, n, 256):
         d = norms[a : a + 256, None] + norms[None] - 2 * x[a : a + 256] @ x.T
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
         near = np.argpartition(d, min(pool, n) - 1, 1)[:, :pool]
         out += [_spread(_sorted_by(a + i, [j for j in row.tolist() if j != a + i], x), x, m) if n > 1 else [] for i, row in enumerate(near)]
+    back: list[list[int]] = [[] for _ in range(n)]
+    for i, links in enumerate(out):
+        for j in links:
+            back[j].append(i)
+    out = [_spread(_sorted_by(i, sorted({*links, *back[i]}), x), x, 2 * m) if links else links for i, links in enumerate(out)]
     root = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    reached, todo = np.zeros(n, bool), [root]
-    reached[root] = True
-    while True:
-        while todo:
-            fresh = [j for j in out[todo.pop()] if not reached[j]]
-            reached[fresh] = True
-            todo += fresh
-        if reached.all():
-            return [[links] for links in out], root
-        lost, have = int(np.flatnonzero(~reached)[0]), np.flatnonzero(reached)
-        out[have[((x[have] - x[lost]) ** 2).sum(1).argmin()]].append(lost)
-        reached[lost] = True
-        todo = [lost]
+    _reaching_all(out, x, root)
+    return [[links] for links in out], root
 
 
 _GRAPH = "shard int, id long, vec array<double>, links array<array<long>>, entry boolean"
 
 
-def _finder(shared, k: int, ef: int):
+def _vectors(part: pd.DataFrame, codec: Any) -> np.ndarray:
+    x = np.array(part["vec"].tolist(), np.float64)
+    return x if codec is None else codec.decode_matrix(x)
+
+
+def _graph_of(part: pd.DataFrame) -> tuple[list, int]:
+    place = {int(v): i for i, v in enumerate(part["id"])}
+    links = [[[place[int(v)] for v in level] for level in levels] for levels in part["links"]]
+    return links, int(np.flatnonzero(part["entry"].to_numpy())[0])
+
+
+def _start(v: np.ndarray, x: np.ndarray, links: list, entry: int) -> int:
+    at = entry
+    for level in range(len(links[entry]) - 1, 0, -1):
+        at = _walk(v, x, lambda j, lv=level: links[j][lv], at, 1)[0][1]
+    return at
+
+
+def _finder(shared, k: int, ef: int, codec: Any):
     def find(part: pd.DataFrame) -> pd.DataFrame:
         qids, q = shared.value
-        x, ids = np.array(part["vec"].tolist(), np.float64), part["id"].to_numpy()
-        place = {int(v): i for i, v in enumerate(ids)}
-        links = [[[place[int(v)] for v in level] for level in levels] for levels in part["links"]]
-        entry, hits = int(np.flatnonzero(part["entry"].to_numpy())[0]), []
+        x, ids, hits = _vectors(part, codec), part["id"].to_numpy(), []
+        links, entry = _graph_of(part)
         for qid, v in zip(qids.tolist(), q, strict=True):
-            at = entry
-            for level in range(len(links[entry]) - 1, 0, -1):
-                at = _walk(v, x, lambda j, lv=level: links[j][lv], at, 1)[0][1]
-            hits += [(qid, int(ids[j]), d) for d, j in _walk(v, x, lambda j: links[j][0], at, max(ef, k))[:k]]
+            hits += [(qid, int(ids[j]), d) for d, j in _walk(v, x, lambda j: links[j][0], _start(v, x, links, entry), max(ef, k))[:k]]
+        return pd.DataFrame(hits, columns=["qid", "id", "dist"])
+
+    return find
+
+
+def _ranger(shared, radius: float, ef: int, codec: Any):
+    """All rows within the radius that can be reached through such rows from the ef best."""
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        qids, q = shared.value
+        x, ids, hits = _vectors(part, codec), part["id"].to_numpy(), []
+        links, entry = _graph_of(part)
+        for qid, v in zip(qids.tolist(), q, strict=True):
+            near = {j: d for d, j in _walk(v, x, lambda j: links[j][0], _start(v, x, links, entry), ef)}
+            todo, seen = [j for j, d in near.items() if d < radius], set(near)
+            within = {j: near[j] for j in todo}
+            while todo:
+                fresh = [j for j in links[todo.pop()][0] if j not in seen]
+                seen.update(fresh)
+                for j in fresh:
+                    d = float(((x[j] - v) ** 2).sum())
+                    if d < radius:
+                        within[j] = d
+                        todo.append(j)
+            hits += [(qid, int(ids[j]), d) for j, d in within.items()]
         return pd.DataFrame(hits, columns=["qid", "id", "dist"])
 
     return find
@@ -165,33 +261,51 @@ def _finder(shared, k: int, ef: int):
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """Rows (shard, id, vec, links per level, entry); links hold ids of the same shard."""
+    """Rows (shard, id, vec, links per level, entry); links hold ids of the same shard. With a codec (encode_matrix,
+    decode_matrix), vec is the code."""
 
     rows: DataFrame
+    codec: Any = None
 
     @classmethod
-    def build(cls, base: DataFrame, kind: str = "hnsw", m: int = 32, ef: int = 40, seed: int = 1234, shard_rows: int = SHARD_ROWS) -> GraphIndex:
+    def build(cls, base: DataFrame, kind: str = "hnsw", m: int = 32, ef: int = 40, seed: int = 1234, shard_rows: int = SHARD_ROWS, codec: Any = None) -> GraphIndex:
         rows = base.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
         shards = max(1, -(-rows.count() // shard_rows))
 
         def make(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("id").reset_index(drop=True)
             x, ids = np.array(part["vec"].tolist(), np.float64), part["id"].to_numpy()
+            if codec is not None:
+                codes = codec.encode_matrix(x)
+                x = codec.decode_matrix(codes)
+                part["vec"] = codes.astype(np.float64).tolist()
             if kind == "nsg":
-                links, entry = _nsg_links(x, m, 2 * m)
+                links, entry = _nsg_links(x, m, 4 * m)
             else:
-                links = _hnsw_links(x, m, ef, seed)
+                links = _hnsw_links(x, m, max(ef, 2 * m), seed)
                 entry = max(range(len(x)), key=lambda i: (len(links[i]), -i))
             return part.assign(links=[[ids[lv].tolist() for lv in levels] for levels in links], entry=np.arange(len(x)) == entry)[["shard", "id", "vec", "links", "entry"]]
 
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        return cls(cut(dealt.groupBy("shard").applyInPandas(make, _GRAPH)))
+        return cls(cut(dealt.groupBy("shard").applyInPandas(make, _GRAPH)), codec)
+
+    def _over(self, queries: DataFrame, find) -> DataFrame:
+        spark, parts = self.rows.sparkSession, []
+        for block in _query_blocks(queries):
+            parts.append(self.rows.groupBy("shard").applyInPandas(find(spark.sparkContext.broadcast(block)), "qid long, id long, dist double"))
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "qid long, id long, dist double")
 
     def search(self, queries: DataFrame, k: int, ef: int = 16) -> DataFrame:
-        parts = []
-        for qids, q in _query_blocks(queries):
-            shared = self.rows.sparkSession.sparkContext.broadcast((qids, q))
-            parts.append(self.rows.groupBy("shard").applyInPandas(_finder(shared, k, ef), "qid long, id long, dist double"))
-        if not parts:
-            return self.rows.sparkSession.createDataFrame([], "qid long, rank int, id long, dist double")
-        return ranked(reduce(DataFrame.unionByName, parts), k).select("qid", "rank", "id", "dist")
+        return ranked(self._over(queries, lambda shared: _finder(shared, k, ef, self.codec)), k).select("qid", "rank", "id", "dist")
+
+    def range_search(self, queries: DataFrame, radius: float, ef: int = 64) -> DataFrame:
+        """qid, id, dist of rows found within the radius (squared)."""
+        return self._over(queries, lambda shared: _ranger(shared, radius, ef, self.codec))
+
+    def neighbours(self) -> DataFrame:
+        """id, level, place, neighbour: the links as a table."""
+        levels = self.rows.select("id", F.posexplode("links").alias("level", "l"))
+        return levels.select("id", "level", F.posexplode("l").alias("place", "neighbour"))
+
+    def write(self, path: str) -> None:
+        self.rows.write.parquet(path)

@@ -1,13 +1,14 @@
 """Similarity joins: k nearest, range, candidates, pairs, and what is done with their results.
 
-Results are long tables: qid, rank (from 0), id, dist, best first, equal scores by smallest id; NaN scores are never
-returned. `where` restricts the base before the search, so k rows come from what passes.
+Results are long tables: qid, rank (from 0), id, dist, best first, equal scores by smallest id; NaN and null scores and
+null vectors are never returned. `where` restricts the base before the search, so k rows come from what passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from nearfield.functions.metrics import block, descending, distance
 
 #: Queries of one block: what is sent to the executors at a time (rows, and elements).
 BLOCK_QUERIES, BLOCK_ELEMENTS = 4096, 4_000_000
+#: Query sets of more blocks than that don't pass through the driver: chunks of queries meet chunks of the base in tasks.
+MOST_BLOCKS = 16
 
 _HITS = "qid long, id long, dist double"
 
@@ -31,13 +34,14 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of each block of the query set, in id order; a block at a time is on the driver."""
+def _query_blocks(queries: DataFrame, elements: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of each block of the query set; a block at a time is on the driver. elements: what is sent of one
+    query, if more than its vector."""
     rows = queries.select("id", "vec").where("vec is not null")
     total, dim = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not total:
         return
-    size = max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, dim)))
+    size = max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, dim, elements)))
     blocks = -(-total // size)
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -46,13 +50,6 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
             yield got.column("id").to_numpy(), _matrix(got.column("vec").combine_chunks() if isinstance(got.column("vec"), pa.ChunkedArray) else got.column("vec"))
 
 
-def query_parts(queries: DataFrame, elements: int) -> list[DataFrame]:
-    """The whole query set in parts for broadcasts, by the id's hash; elements: what one query sends."""
-    size = max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, elements)))
-    parts = max(1, -(-queries.count() // size))
-    return [queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b) for b in range(parts)]
-
-
 def _scores(q: np.ndarray, x: np.ndarray, metric: str, arg: float, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its kept rows and their exact scores. L2 and IP are screened by one matrix product first."""
     if metric not in ("l2", "ip"):
@@ -80,81 +77,168 @@ def _hits(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.float64))], names=["qid", "id", "dist"])
 
 
-def _nearest_rows(shared, k: int, metric: str, arg: float, other: bool):
+def keep_best(k: int, metric: str) -> Callable[[np.ndarray, float], np.ndarray]:
+    """Places of scores that may be among the k best, give or take a slack."""
     sign = -1.0 if descending(metric) else 1.0
 
-    def keep(scores: np.ndarray, slack: float) -> np.ndarray:
+    def keep(scores: np.ndarray, slack: float = 0.0) -> np.ndarray:
         s = np.where(np.isnan(scores), np.inf, sign * scores)
-        if len(s) <= k + other:
+        if len(s) <= k:
             return np.flatnonzero(s < np.inf)
-        return np.flatnonzero(s <= min(np.partition(s, k + other - 1)[k + other - 1] + slack, np.finfo(float).max))
+        return np.flatnonzero(s <= min(np.partition(s, k - 1)[k - 1] + slack, np.finfo(float).max))
+
+    return keep
+
+
+def keep_within(radius: float, metric: str) -> Callable[[np.ndarray, float], np.ndarray]:
+    def keep(scores: np.ndarray, slack: float = 0.0) -> np.ndarray:
+        return np.flatnonzero(scores > radius - slack if descending(metric) else scores < radius + slack)
+
+    return keep
+
+
+class Best:
+    """The k best (id, score) of each query in a task."""
+
+    def __init__(self, k: int, metric: str) -> None:
+        self.k, self.sign = k, -1.0 if descending(metric) else 1.0
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        scores = self.sign * scores
+        if query in self.held:
+            ids, scores = np.append(self.held[query][0], ids), np.append(self.held[query][1], scores)
+        order = np.lexsort((ids, scores))[: self.k]
+        self.held[query] = (ids[order], scores[order])
+
+    def hits(self, qid: np.ndarray) -> pa.RecordBatch:
+        return _hits([(np.full(len(m), qid[i]), m, self.sign * s) for i, (m, s) in self.held.items()])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+def searched(rows: DataFrame, shared: Any, scored: Callable[[Any, pa.RecordBatch, Callable], Iterator[tuple[int, np.ndarray, np.ndarray]]], metric: str, k: int | None = None, radius: float | None = None) -> DataFrame:
+    """Hits (qid, id, dist) of a block of queries in rows (id, ...): of each task the k best per query, or all within the
+    radius. shared holds the qids first; scored(shared, batch, keep) gives (query number, places in the batch, scores)."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keep = Best(k, metric), keep_best(k, metric)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for i, at, s in scored(shared.value, batch, keep):
+                held.add(i, ids[at], s)
+        yield held.hits(shared.value[0])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keep_within(radius, metric)
         for batch in batches:
-            batch = batch.filter(batch.column("vec").is_valid())
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
-            for i, at, s in _scores(q, x, metric, arg, keep):
-                mine, scores = ids[at], sign * s
-                if other:
-                    mine, scores = mine[mine != qid[i]], scores[mine != qid[i]]
-                if i in best:
-                    mine, scores = np.append(best[i][0], mine), np.append(best[i][1], scores)
-                order = np.lexsort((mine, scores))[:k]
-                best[i] = (mine[order], scores[order])
-        yield _hits([(np.full(len(m), qid[i]), m, sign * s) for i, (m, s) in best.items()])
-
-    return rows
+            ids, qid = batch.column("id").to_numpy(), shared.value[0]
+            yield _hits([(np.full(len(at), qid[i]), ids[at], s) for i, at, s in scored(shared.value, batch, keep)])
+
+    return rows.mapInArrow(best if k is not None else within, _HITS)
+
+
+def _all_pairs(metric: str, arg: float):
+    def scored(shared, batch: pa.RecordBatch, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if batch.num_rows:
+            yield from _scores(shared[1], _matrix(batch.column("vec")), metric, arg, keep)
+
+    return scored
+
+
+_CHUNK = "ids binary, vecs binary, n int"
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """rows (id, vec) packed into chunks of at most a block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ids = _matrix(batch.column("vec")), batch.column("id").to_numpy()
+            size = max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, x.shape[1])))
+            for a in range(0, len(ids), size):
+                part = ids[a : a + size]
+                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([x[a : a + size].tobytes()], pa.binary()), pa.array([len(part)], pa.int32())], names=["ids", "vecs", "n"])
+
+    return rows.mapInArrow(pack, _CHUNK)
+
+
+def _chunk_pairs(queries: DataFrame, base: DataFrame, metric: str, arg: float, k: int | None, radius: float | None) -> DataFrame:
+    """Hits of all queries: every chunk of queries meets every chunk of the base in some task, none on the driver."""
+    pairs = _chunks(queries).toDF("qids", "qvecs", "qn").crossJoin(_chunks(base))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keep_best(k, metric) if k is not None else keep_within(radius, metric)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qid, q, n, ids, x, m = (batch.column(c)[i].as_py() for c in ("qids", "qvecs", "qn", "ids", "vecs", "n"))
+                qid, ids = np.frombuffer(qid, np.int64), np.frombuffer(ids, np.int64)
+                found = _scores(np.frombuffer(q).reshape(n, -1), np.frombuffer(x).reshape(m, -1), metric, arg, keep)
+                yield _hits([(np.full(len(at), qid[j]), ids[at], s) for j, at, s in found])
+
+    return pairs.mapInArrow(meet, _HITS)
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.where("vec is not null and id is not null").select(F.col("id").cast("long").alias("id"), "vec")
+
+
+def joined(queries: DataFrame, base: DataFrame, metric: str, arg: float = 2.0, k: int | None = None, radius: float | None = None) -> DataFrame:
+    """Hits (qid, id, dist) that hold the k best of each query, or all within the radius."""
+    q, rows, spark = _plain(queries), _plain(base), base.sparkSession
+    size, dim = q.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if size > MOST_BLOCKS * max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, dim or 1))):
+        return _chunk_pairs(q, rows, metric, arg, k, radius)
+    parts = [searched(rows, spark.sparkContext.broadcast(b), _all_pairs(metric, arg), metric, k, radius) for b in _query_blocks(q)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _HITS)
 
 
 def ranked(hits: DataFrame, k: int, metric: str = "l2", key: str = "qid") -> DataFrame:
     """The k best per key of (key, id, dist, ...), with rank. Plans as a partial and a final limit per key."""
     score = F.col("dist").desc() if descending(metric) else F.col("dist").asc()
     w = Window.partitionBy(key).orderBy(score, F.col("id").asc())
-    return hits.where(~F.isnan("dist")).withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
+    return hits.where(F.col("dist").isNotNull() & ~F.isnan("dist")).withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", arg: float = 2.0, where: Column | None = None, other: bool = False) -> DataFrame:
     """The k best base rows (id, vec) for each query (id, vec); with `other`, a row isn't its own neighbour.
 
     The base stays where it is: each task streams its rows past a block of queries and keeps k per query, so what is
-    shuffled is k rows per query and task. Query sets of any size go block by block."""
+    shuffled is k rows per query and task. Query sets of more than MOST_BLOCKS blocks meet the base chunk by chunk."""
     if k <= 0:
         raise ValueError("k must be positive")
-    rows = (base if where is None else base.where(where)).select(F.col("id").cast("long").alias("id"), "vec")
-    spark, parts = base.sparkSession, []
-    for ids, q in _query_blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, q))
-        parts.append(rows.mapInArrow(_nearest_rows(shared, k, metric, arg, other), _HITS))
-    if not parts:
-        return spark.createDataFrame([], "qid long, rank int, id long, dist double")
-    return ranked(reduce(DataFrame.unionByName, parts), k, metric).select("qid", "rank", "id", "dist")
-
-
-def _range_rows(shared, radius: float, metric: str, arg: float):
-    def keep(scores: np.ndarray, slack: float) -> np.ndarray:
-        return np.flatnonzero(scores > radius - slack if descending(metric) else scores < radius + slack)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        for batch in batches:
-            batch = batch.filter(batch.column("vec").is_valid())
-            if batch.num_rows:
-                ids, x = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
-                yield _hits([(np.full(len(at), qid[i]), ids[at], s) for i, at, s in _scores(q, x, metric, arg, keep)])
-
-    return rows
+    hits = joined(queries, base if where is None else base.where(where), metric, arg, k=k + other)
+    return ranked(hits.where("qid <> id") if other else hits, k, metric).select("qid", "rank", "id", "dist")
 
 
 def range_join(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2", arg: float = 2.0, where: Column | None = None) -> DataFrame:
     """All base rows strictly better than the radius: qid, id, dist, in no order."""
-    rows = (base if where is None else base.where(where)).select(F.col("id").cast("long").alias("id"), "vec")
-    spark = base.sparkSession
-    parts = [rows.mapInArrow(_range_rows(spark.sparkContext.broadcast(b), radius, metric, arg), _HITS) for b in _query_blocks(queries)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _HITS)
+    return joined(queries, base if where is None else base.where(where), metric, arg, radius=radius)
+
+
+def within_radius(hits: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
+    """A range result cut to a smaller radius."""
+    return hits.where(F.col("dist") > radius if descending(metric) else F.col("dist") < radius)
+
+
+def best_of(x: np.ndarray, c: np.ndarray, metric: str = "l2", arg: float = 2.0) -> np.ndarray:
+    """The number of the best row of c for each row of x, the smallest of equals, a bounded block of x at a time."""
+    out, sign = np.zeros(len(x), np.int64), -1.0 if descending(metric) else 1.0
+    if metric not in ("l2", "ip"):
+        for i, row in enumerate(x):
+            s = sign * block(row, c, metric, arg)
+            out[i] = int(np.where(np.isnan(s), np.inf, s).argmin())
+        return out
+    cc, step = (c * c).sum(1), max(1, BLOCK_ELEMENTS // max(1, len(c)))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        s = -(part @ c.T) if metric == "ip" else cc - 2 * (part @ c.T)
+        best = s.argmin(1)
+        slack = 1e-9 * ((part * part).sum(1) + float(cc.max(initial=0.0)) + 1)
+        close = s <= (s[np.arange(len(part)), best] + slack)[:, None]
+        for i in np.flatnonzero(close.sum(1) > 1):
+            some = np.flatnonzero(close[i])
+            best[i] = some[(sign * block(part[i], c[some], metric)).argmin()]
+        out[a : a + step] = best
+    return out
 
 
 def assign(queries: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame:
@@ -165,7 +249,7 @@ def assign(queries: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame
 def pair_scores(pairs: DataFrame, queries: DataFrame, base: DataFrame, metric: str = "l2", arg: float = 2.0) -> DataFrame:
     """The scores of given (qid, id); ids of -1 and unknown ones are left out."""
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("q"))
-    out = pairs.where("id <> -1").join(base.select("id", F.col("vec").alias("x")), "id").join(q, "qid")
+    out = pairs.where("id <> -1").join(base.select("id", F.col("vec").alias("x")), "id").join(q, "qid").where("x is not null and q is not null")
     return out.select("qid", "id", distance(F.col("q"), F.col("x"), metric, arg).alias("dist"))
 
 

@@ -88,11 +88,14 @@ def random_rotation(d_in: int, d_out: int, seed: int = 1234) -> Linear:
     return Linear((q * np.sign(np.diag(r)))[:d_out, :d_in])
 
 
-def pca(rows: DataFrame, d_out: int, whiten: float = 0.0, rotate: int | None = None) -> Linear:
-    """Principal axes, largest first; each axis's largest element is positive. whiten: power of the eigenvalues."""
+def pca(rows: DataFrame, d_out: int, whiten: float = 0.0, rotate: int | None = None, bins: int = 0) -> Linear:
+    """Principal axes, largest first (with bins: dealt so that each bin of axes holds as much variance); each axis's largest
+    element is positive. whiten: power of the eigenvalues."""
     _, mean, cov = moments(rows)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:d_out]
+    if bins:
+        order = order[balanced_axes(values[order], bins)]
     axes = vectors[:, order].T
     axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
     if whiten:
@@ -102,29 +105,84 @@ def pca(rows: DataFrame, d_out: int, whiten: float = 0.0, rotate: int | None = N
     return Linear(axes, -axes @ mean)
 
 
-def hadamard(rows: DataFrame, seed: int = 12345) -> DataFrame:
+def _walsh(x: np.ndarray) -> np.ndarray:
+    """The orthonormal Walsh-Hadamard transform of rows whose length is a power of two; its own inverse."""
+    n, p = x.shape
+    h = 1
+    while h < p:
+        y = x.reshape(n, p // (2 * h), 2, h)
+        x = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), 2).reshape(n, p)
+        h *= 2
+    return x / np.sqrt(p)
+
+
+@dataclass(frozen=True)
+class Hadamard:
     """Three rounds of sign flips and Walsh-Hadamard transforms over vectors padded to a power of two."""
+
+    d: int
+    seed: int = 12345
+
+    def _signs(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).choice([-1.0, 1.0], (3, 1 << max(0, (self.d - 1).bit_length())))
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        signs = self._signs()
+        x = np.pad(x, ((0, 0), (0, signs.shape[1] - x.shape[1])))
+        for s in signs:
+            x = _walsh(x * s)
+        return x
+
+    def backward(self, y: np.ndarray) -> np.ndarray:
+        for s in self._signs()[::-1]:
+            y = _walsh(y) * s
+        return y[:, : self.d]
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return _through_matrix(rows, self.forward)
+
+    def reverse(self, rows: DataFrame) -> DataFrame:
+        return _through_matrix(rows, self.backward)
+
+
+def _through_matrix(rows: DataFrame, f) -> DataFrame:
     kept = [c for c in rows.columns if c != "vec"]
 
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("vec"))
-            p = 1 << max(0, (x.shape[1] - 1).bit_length())
-            x = np.pad(x, ((0, 0), (0, p - x.shape[1])))
-            signs = np.random.default_rng(seed).choice([-1.0, 1.0], (3, p))
-            for s in signs:
-                x = (x * s).reshape(len(x), p)
-                h = 1
-                while h < p:
-                    y = x.reshape(len(x), p // (2 * h), 2, h)
-                    x = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), 2).reshape(len(x), p)
-                    h *= 2
-            x /= p * np.sqrt(p)
-            out = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * p, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), out], names=[*kept, "vec"])
+            if batch.num_rows:
+                y = f(_matrix(batch.column("vec")))
+                out = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), out], names=[*kept, "vec"])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "vec"), "vec array<double>"])
-    return rows.select(*kept, "vec").mapInArrow(mix, kinds)
+    return rows.where("vec is not null").select(*kept, "vec").mapInArrow(run, kinds)
+
+
+def reflection(normals: np.ndarray) -> np.ndarray:
+    """The matrix that reflects at the hyperplanes with these normals, one after the other."""
+    out = np.eye(normals.shape[1])
+    for v in normals:
+        v = v / np.linalg.norm(v)
+        out = out - 2.0 * np.outer(v, v @ out)
+    return out
+
+
+def balanced_axes(values: np.ndarray, bins: int) -> np.ndarray:
+    """An order of axes in which cuts into equal bins have variances of nearly equal product: the largest axes go, one by
+    one, to the bin with room whose sum of logarithms is least."""
+    room, load = np.full(bins, len(values) // bins), np.zeros(bins)
+    if len(values) % bins:
+        raise ValueError("bins must divide the number of axes")
+    held: list[list[int]] = [[] for _ in range(bins)]
+    logs = np.log(np.maximum(values, 1e-30))
+    logs = logs - logs.min()
+    for i in np.argsort(-values, kind="stable").tolist():
+        b = min((j for j in range(bins) if room[j]), key=lambda j: (load[j], j))
+        held[b].append(i)
+        room[b] -= 1
+        load[b] += logs[i]
+    return np.array([i for h in held for i in h])
 
 
 @dataclass(frozen=True)
@@ -144,8 +202,10 @@ class Center:
 
     @classmethod
     def fit(cls, rows: DataFrame) -> Center:
-        got = rows.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("dim").collect()  # d rows
-        return cls(tuple(r["m"] for r in got))
+        from nearfield.operators.stats import per_dimension
+
+        got = per_dimension(rows).orderBy("dim").collect()  # d rows
+        return cls(tuple(r["mean"] for r in got))
 
     def _mean(self):
         return F.array(*map(F.lit, self.mean))

@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from nearfield.operators import additive, codecs, coded_lists, sphere, transforms
+from nearfield.plans import spec
 
 #: What a table may name; nothing else is ever built from one.
 KINDS = {c.__name__: c for c in (codecs.ScalarQuantizer, codecs.ProductQuantizer, codecs.SignHash, additive.AdditiveQuantizer, sphere.SphereCodec, sphere.SignMagnitude,
-                                 transforms.Linear, transforms.Center, transforms.Remap, transforms.Normalize, transforms.Chain, coded_lists.ProductCells)}
+                                 transforms.Linear, transforms.Center, transforms.Remap, transforms.Normalize, transforms.Chain, transforms.Hadamard, coded_lists.ProductCells, spec.Spec, spec.Step, spec.BinarySpec)}
 _SCHEMA = "name string, kind string, shape array<int>, numbers array<double>"
 
 
