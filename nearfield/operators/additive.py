@@ -111,7 +111,7 @@ class AdditiveQuantizer:
         return np.concatenate([local_search_codes(y, b, 2, 4, self.seed) if self.kind == "lsq" else beam_codes(y, b, self.beam) for y, b in cuts], 1)
 
     def decode_matrix(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([summed(c, b) for c, b in zip(np.split(codes, len(self.books), 1), self.books, strict=True)], 1)
+        return np.concatenate([summed(c, b) for c, b in zip(np.split(codes.astype(np.int64), len(self.books), 1), self.books, strict=True)], 1)
 
     def encode(self, rows: DataFrame) -> DataFrame:
         """id, code."""

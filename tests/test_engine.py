@@ -86,7 +86,7 @@ def test_quantizers_improve_with_bits(data):
         errors.append(((x - y) ** 2).sum())
     assert errors[0] > errors[1] > errors[2]
     pq = codecs.ProductQuantizer.fit(rows, 4, 5)
-    y = np.array(rows.select("id", pq.decode(pq.encode(F.col("vec"))).alias("y")).orderBy("id").toPandas()["y"].tolist())
+    y = np.array(pq.decode(pq.encode(rows)).orderBy("id").toPandas()["vec"].tolist())
     assert ((x - y) ** 2).sum() < (x**2).sum() * 0.3
 
 
