@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,17 +58,22 @@ def discard(df: DataFrame) -> None:
 
 def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """df with a broadcast hint if a look at it shows at most `most` rows and MAX_BROADCAST_BYTES bytes; else as it is,
-    for a shuffled join. Columns are numbers, strings, binaries or arrays of numbers."""
+    for a shuffled join. Columns are numbers, strings, binaries, arrays of numbers, or structs of those."""
     most = MAX_BROADCAST_ROWS if most is None else most
-    width = F.lit(8 * len(df.columns)).cast("long")
-    for f in df.schema:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            width += F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
-            width += 8 * F.greatest(F.size(f.name), F.lit(0))
-        elif not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-            raise TypeError(f"no bound is known for the bytes of {f.name}")
-    n, size = df.select(width.alias("w")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+
+    def width(c: Column, kind: T.DataType, name: str) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, (T.NumericType, T.BooleanType)):
+            return F.lit(8)
+        if isinstance(kind, T.StructType):
+            return reduce(lambda x, y: x + y, (width(c[f.name], f.dataType, f.name) for f in kind))
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            return 8 * F.greatest(F.size(c), F.lit(0)) + 8
+        raise TypeError(f"no bound is known for the bytes of {name}")
+
+    sizes = reduce(lambda x, y: x + y, (width(F.col(f.name), f.dataType, f.name) for f in df.schema))
+    n, size = df.select(sizes.cast("long").alias("w")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     return F.broadcast(df) if n <= most and size <= MAX_BROADCAST_BYTES else df
 
 

@@ -223,4 +223,17 @@ def test_small_looks_at_bytes(spark):
     assert "Hint broadcast" not in common.small(wide)._jdf.queryExecution().logical().toString()
     assert "Hint broadcast" in common.small(spark.range(10))._jdf.queryExecution().logical().toString()
     with pytest.raises(TypeError):
-        common.small(spark.range(1).select(F.struct("id").alias("s")))
+        common.small(spark.range(1).select(F.create_map("id", "id").alias("m")))
+    pair = spark.range(9).select(F.struct("id", F.repeat(F.lit("x"), 4).alias("t")).alias("s"))
+    assert "Hint broadcast" in common.small(pair)._jdf.queryExecution().logical().toString()
+
+
+@pytest.mark.parametrize("broadcasts", [True, False])
+def test_many_copies_leave_one(spark, monkeypatch, broadcasts):
+    if not broadcasts:
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
+    body = " ".join(f"word{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"{body} tail {i % 3}") for i in range(50, 250)] + [(7, "nothing like the others here")], "doc_id long, text string")
+    for out in (simhash.deduplicated(docs), shingles.deduplicated(docs)):
+        assert 7 in {r["doc_id"] for r in out.collect()}
+    assert {r["doc_id"] for r in shingles.deduplicated(docs).collect()} == {7, 50}
