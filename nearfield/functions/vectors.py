@@ -43,6 +43,22 @@ def k_smallest(v: Column, k: int, largest: bool = False) -> Column:
     return F.transform(best, lambda p: F.struct((p["s"] * sign).alias("value"), p["place"].alias("place")))
 
 
+def argsorted(v: Column) -> Column:
+    """Places of a row's elements by rising value, ties by place."""
+    return F.transform(F.array_sort(F.transform(v, lambda x, i: F.struct(x.cast("double").alias("x"), i.alias("place")))), lambda p: p["place"])
+
+
+def seeded(row: Column, d: int, seed: int = 1234, normal: bool = False) -> Column:
+    """d pseudo-random numbers for a row's key: uniform in [0, 1), or normal. The same for the same key and seed, anywhere."""
+    def u(i: Column, turn: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed + turn), row, i), 11).cast("double") + 0.5) * (2.0**-53)
+
+    def one(i: Column) -> Column:
+        return F.sqrt(-2 * F.log(u(i, 0))) * F.cos(u(i, 1) * 6.283185307179586) if normal else u(i, 0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), one)
+
+
 def bits(v: Column, strict: bool = False) -> Column:
     """1 where x >= 0 (strict: x > 0), element by element."""
     return F.transform(v, lambda x: ((x > 0) if strict else (x >= 0)).cast("int"))

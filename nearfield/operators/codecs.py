@@ -278,12 +278,19 @@ class SignHash:
         return rows.where("vec is not null").select("id", words(bits(v), self.n).alias("words"))
 
 
+def _fp16(x: Column) -> Column:
+    """A number of fp16's normal range rounded to its eleven bits."""
+    size = F.abs(x)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-14)) - 10)
+    return F.when(size > 0, F.rint(x / step) * step).otherwise(F.lit(0.0))
+
+
 def row_scaled(vec: Column, bits_: int = 8, fp16: bool = False) -> Column:
     """Row-wise min-max: struct(low, width, code) of one vector; with fp16 low and width are of that precision."""
     low, high = F.array_min(vec).cast("double"), F.array_max(vec).cast("double")
     if fp16:
-        edges = half(F.array(low, high - low))
-        low, high = F.get(edges, F.lit(0)), F.get(edges, F.lit(0)) + F.get(edges, F.lit(1))
+        low, width = _fp16(low), _fp16(high - low)
+        high = low + width
     top = float((1 << bits_) - 1)
     code = F.transform(vec, lambda x: F.when(high == low, F.lit(0)).otherwise(F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x.cast("double") - low) / F.when(high != low, high - low))) * top).cast("int")))
     return F.struct(low.alias("low"), (high - low).alias("width"), code.alias("code"))

@@ -29,6 +29,35 @@ def range_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
     return counts.select(share("f").alias("precision"), share("t").alias("recall"))
 
 
+def range_scores_average(truth: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
+    """precision and recall of each query (qid of queries), averaged: 1 for a query where nothing was found, or nothing was
+    there to find."""
+    t, f = truth.select("qid", "id").distinct(), found.select("qid", "id").distinct()
+    both = t.withColumn("t", F.lit(1)).join(f.withColumn("f", F.lit(1)), ["qid", "id"], "full").groupBy("qid").agg(F.count("t").alias("t"), F.count("f").alias("f"), F.count(F.col("t") + F.col("f")).alias("both"))
+    each = queries.select("qid").distinct().join(both, "qid", "left").na.fill(0)
+    share = lambda n: F.when(F.col(n) == 0, F.lit(1.0)).otherwise(F.col("both") / F.when(F.col(n) != 0, F.col(n)))
+    return each.agg(F.avg(share("f")).alias("precision"), F.avg(share("t")).alias("recall"))
+
+
+def differences_beyond_draws(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """qid, n of queries whose results (qid, id, dist) differ by more than the order or choice of equal scores: other
+    scores, or another id at a score that is not the query's last."""
+    def table(x: DataFrame) -> DataFrame:
+        last = Window.partitionBy("qid")
+        return x.select("qid", "id", "dist", (F.col("dist") == F.max("dist").over(last)).alias("end"))
+
+    a, b = table(truth), table(found)
+    scores = a.groupBy("qid", "dist").agg(F.count("*").alias("n")).join(b.groupBy("qid", "dist").agg(F.count("*").alias("m")), ["qid", "dist"], "full")
+    ids = a.where("not end").select("qid", "id", "dist").withColumn("a", F.lit(1)).join(b.where("not end").select("qid", "id", "dist").withColumn("b", F.lit(1)), ["qid", "id", "dist"], "full")
+    wrong = scores.where(~F.col("n").eqNullSafe(F.col("m"))).select("qid").unionByName(ids.where("a is null or b is null").select("qid"))
+    return wrong.groupBy("qid").agg(F.count("*").alias("n"))
+
+
+def time_for(points: DataFrame, perf: float) -> DataFrame:
+    """One row, t: the least time of an operating point (key, perf, t) that reaches perf; null if none does."""
+    return points.where(F.col("perf") >= perf).agg(F.min("t").alias("t"))
+
+
 def curve(truth: DataFrame, found: DataFrame, thresholds: DataFrame) -> DataFrame:
     """threshold, precision, recall of the found rows with dist < threshold, for a small table of thresholds."""
     marked = found.join(truth.select("qid", "id").distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left").select("dist", F.coalesce("hit", F.lit(0)).alias("hit"))

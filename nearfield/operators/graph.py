@@ -22,8 +22,8 @@ from nearfield.operators.search import _matrix, _query_blocks, pair_scores, rank
 
 #: Rows of a shard on average, and rows of one ring when NN-descent draws its first neighbours.
 SHARD_ROWS, RING_ROWS = 20_000, 4_096
-#: Neighbours that NN-descent proposes to each row of a meeting.
-PROPOSED = 4
+#: Orders of rings that the first neighbours come from, and neighbours that NN-descent proposes to each row of a meeting.
+RINGS, PROPOSED = 8, 6
 
 
 def _best_edges(edges: DataFrame, k: int) -> DataFrame:
@@ -72,21 +72,25 @@ def _pairs(out: list) -> pa.RecordBatch:
 def nn_descent(base: DataFrame, k: int, iterations: int = 8, held: int | None = None, seed: int = 1234, stop: float = 0.001) -> DataFrame:
     """An approximate k-NN graph: src, rank, dst, dist.
 
-    While it runs, `held` neighbours are kept (32 or 4 k). The first are the next ones in rings of rows ordered by a hash.
+    While it runs, `held` neighbours are kept (48 or 6 k). The first are the next ones in RINGS different rings of rows, ordered by hashes.
     In each iteration every row brings together its neighbours and up to `held` rows that have it as theirs (drawn by hash,
     so a hub meets no more than others); pairs of which one is new to it are compared where they meet, and each row is
     proposed its PROPOSED nearest. It ends when at most `stop` of the edges are new."""
     rows = base.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    held = held or max(32, 4 * k)
+    held = held or max(48, 6 * k)
     rings = max(1, -(-rows.count() // RING_ROWS))
-    h = rows.select("id", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("ring", F.pmod("h", F.lit(rings)))
-    after = F.collect_list("id").over(Window.partitionBy("ring").orderBy("h", "id").rowsBetween(1, held))
-    first = h.select(F.col("id").alias("src"), after.alias("dsts")).select("src", F.explode("dsts").alias("dst")).where("src <> dst")
+
+    def ring(turn: int) -> DataFrame:
+        h = rows.select("id", F.xxhash64("id", F.lit(seed + turn)).alias("h")).withColumn("ring", F.pmod("h", F.lit(rings)))
+        after = F.collect_list("id").over(Window.partitionBy("ring").orderBy("h", "id").rowsBetween(1, max(1, held // RINGS)))
+        return h.select(F.col("id").alias("src"), after.alias("dsts")).select("src", F.explode("dsts").alias("dst")).where("src <> dst")
+
+    first = reduce(DataFrame.unionByName, [ring(t) for t in range(RINGS)])
     first = first.unionByName(first.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     scored = pair_scores(first.select(F.col("src").alias("qid"), F.col("dst").alias("id")), rows, rows).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
     edges = cut(_best_edges(scored.withColumn("new", F.lit(True)), held))
     for turn in range(iterations):
-        w = Window.partitionBy("via").orderBy(F.xxhash64("dst", F.lit(seed + turn)), "dst")
+        w = Window.partitionBy("via").orderBy(F.xxhash64("via", "dst", F.lit(seed + turn)), "dst")
         back = edges.select(F.col("dst").alias("via"), F.col("src").alias("dst"), "new").withColumn("n", F.row_number().over(w)).where(F.col("n") <= held).drop("n")
         known = edges.select(F.col("src").alias("via"), "dst", "new").unionByName(back).groupBy("via", "dst").agg(F.max("new").alias("new"))
         near = known.join(rows.select(F.col("id").alias("dst"), "vec"), "dst").select("via", "dst", "new", "vec").repartition("via").sortWithinPartitions("via", "dst")
@@ -156,35 +160,8 @@ def _sorted_by(i: int, others: list[int], x: np.ndarray) -> list[tuple[float, in
     return sorted(zip(((x[others] - x[i]) ** 2).sum(1).tolist(), others, strict=True))
 
 
-def _hnsw_links(x: np.ndarray, m: int, ef: int, seed: int) -> list[list[list[int]]]:
-    """Per row, its links on each of its levels."""
-    tops = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int).tolist()
-    out: list[list[list[int]]] = [[[] for _ in range(t + 1)] for t in tops]
-    entry = 0
-    for i in range(1, len(x)):
-        at = entry
-        for level in range(tops[entry], -1, -1):
-            found = _walk(x[i], x, lambda j, lv=level: out[j][lv], at, ef if level <= tops[i] else 1)
-            at = found[0][1]
-            if level > tops[i]:
-                continue
-            most = 2 * m if level == 0 else m
-            out[i][level] = _spread(found, x, most)
-            for j in out[i][level]:
-                out[j][level].append(i)
-                if len(out[j][level]) > most:
-                    out[j][level] = _spread(_sorted_by(j, out[j][level], x), x, most)
-        if tops[i] > tops[entry]:
-            entry = i
-    if len(x):
-        ground = [levels[0] for levels in out]  # the lists themselves
-        _reaching_all(ground, x, entry)
-    return out
-
-
-def _nsg_links(x: np.ndarray, m: int, pool: int) -> tuple[list[list[list[int]]], int]:
-    """A pruned exact k-NN graph, its links also turned back, in which the row nearest to the mean reaches all others; and
-    that row."""
+def _pruned_knn(x: np.ndarray, m: int, pool: int) -> list[list[int]]:
+    """For each row links to m of its `pool` exactly nearest, spread, and with the links of others turned back to 2 m."""
     n, norms, out = len(x), (x * x).sum(1), []
     for a in range(0, n, 256):
         d = norms[a : a + 256, None] + norms[None] - 2 * x[a : a + 256] @ x.T
@@ -195,7 +172,27 @@ def _nsg_links(x: np.ndarray, m: int, pool: int) -> tuple[list[list[list[int]]],
     for i, links in enumerate(out):
         for j in links:
             back[j].append(i)
-    out = [_spread(_sorted_by(i, sorted({*links, *back[i]}), x), x, 2 * m) if links else links for i, links in enumerate(out)]
+    return [_spread(_sorted_by(i, sorted({*links, *back[i]}), x), x, 2 * m) if links else links for i, links in enumerate(out)]
+
+
+def _hnsw_links(x: np.ndarray, m: int, pool: int, seed: int) -> list[list[list[int]]]:
+    """Per row, its links on each of its levels. A shard is small enough to find each level's candidates exactly, which is
+    quicker and loses less than walking the unfinished graph for them."""
+    tops = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int)
+    out: list[list[list[int]]] = [[] for _ in range(len(x))]
+    for level in range(int(tops.max(initial=-1)) + 1):
+        here = np.flatnonzero(tops >= level)
+        links = _pruned_knn(x[here], m if level == 0 else max(1, m // 2), pool)
+        # from the row that a search enters by, all others of the level are reached
+        _reaching_all(links, x[here], int(np.flatnonzero(here == int(tops.argmax()))[0]))
+        for i, own in zip(here.tolist(), links, strict=True):
+            out[i].append(here[own].tolist())
+    return out
+
+
+def _nsg_links(x: np.ndarray, m: int, pool: int) -> tuple[list[list[list[int]]], int]:
+    """A pruned exact k-NN graph in which the row nearest to the mean reaches all others; and that row."""
+    out = _pruned_knn(x, m, pool)
     root = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     _reaching_all(out, x, root)
     return [[links] for links in out], root
@@ -282,7 +279,7 @@ class GraphIndex:
             if kind == "nsg":
                 links, entry = _nsg_links(x, m, 4 * m)
             else:
-                links = _hnsw_links(x, m, max(ef, 2 * m), seed)
+                links = _hnsw_links(x, m, max(ef, 4 * m), seed)
                 entry = max(range(len(x)), key=lambda i: (len(links[i]), -i))
             return part.assign(links=[[ids[lv].tolist() for lv in levels] for levels in links], entry=np.arange(len(x)) == entry)[["shard", "id", "vec", "links", "entry"]]
 

@@ -18,10 +18,15 @@ def id_in(ids: list[int], column: str = "id") -> Column:
 
 
 def id_bitmap(bitmap: bytes, column: str = "id") -> Column:
-    """Bit id % 8 of byte id // 8; ids beyond the bitmap don't pass."""
-    member = F.array(*(F.lit(b) for b in bitmap)) if bitmap else F.array().cast("array<int>")
-    byte = F.get(member, F.floor(F.col(column) / 8).cast("int"))
-    return F.coalesce(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col(column), F.lit(8)))) % 2 == 1, F.lit(False))
+    """Bit id % 8 of byte id // 8; ids beyond the bitmap don't pass. The bitmap is one literal of the plan."""
+    at = F.col(column).cast("long")
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (at >= 0) & (at < 8 * len(bitmap)) & F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
+def translated(predicate: Column, ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id, ...) whose other name in ids (id, other) passes a predicate over `other`."""
+    return rows.join(ids.where(predicate).select("id").distinct(), "id", "left_semi")
 
 
 def negated(p: Column) -> Column:

@@ -6,6 +6,7 @@ Every query runs over the whole of `embeddings`; the query vectors are a stated
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from nearfield.functions import vectors as V
 from nearfield.functions.metrics import NAMES, descending
 from nearfield.operators import additive, binary, cluster, codecs, coded_lists, evaluate, graph, ivf, search, selectors, spectral, sphere, stats, transforms
-from nearfield.plans.index import Index
+from nearfield.plans.index import BinaryIndex, Index
+from nearfield.sources import indexes
 from nearfield.sources.tables import embeddings
 from nearfield.streaming import window
 
@@ -413,13 +415,71 @@ _add("window_knn", _on_rows(lambda r: _rounded(search.knn_join(_asked(r), window
 _add("members_knn", _on_rows(lambda r: _rounded(search.knn_join(_asked(r), selectors.members(r, r.where("label = 3").select("id")), 10), "dist")), _knn_sql("l2", 10, "label = 3"))
 _add("others_knn", _on_rows(lambda r: _rounded(search.knn_join(_asked(r), selectors.others(r, r.where("label = 3").select("id")), 10), "dist")), _knn_sql("l2", 10, "label <> 3"))
 _add("described_flat", _on_rows(lambda r: _rounded(Index.of("Flat").train(r).add(r).search(_asked(r), 10), "dist")), _knn_sql("l2", 10))
+
+
+def _with_null_rows(r: DataFrame) -> DataFrame:
+    return r.select("id", "vec").union(r.select(F.col("id") + 100_000, F.lit(None).cast("array<double>")))
+
+
+def _null_words(r: DataFrame) -> DataFrame:
+    return _codes(r).union(r.select(F.col("id") + 100_000, F.lit(None).cast("array<bigint>")))
+
+
+def _written_and_read(r: DataFrame) -> DataFrame:
+    spark = r.sparkSession
+    index = Index.of("IDMap,Flat").train(r).add(r)
+    path = f"{spark.sparkContext.getCheckpointDir()}/nearfield/index-{uuid.uuid4().hex}"
+    indexes.write(spark, path, index)
+    return indexes.read(spark, path).search(_asked(r), 10)
+
+
+_HAM_SQL = _with(
+    f", s AS (SELECT qid, id, {_HAM} AS dist FROM q, b), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM s) SELECT qid, rank::INT AS rank, id, dist FROM r WHERE rank < 10"
+)
+# Null vectors are in the base and among the queries: the results are those without them.
+_add("knn_null_rows", _on_rows(lambda r: (lambda x: _rounded(search.knn_join(_asked(x), x, 10), "dist"))(_with_null_rows(r))), _knn_sql("l2", 10))
+_add("ivf_null_rows", _on_rows(lambda r: (lambda x: _rounded(_ivf(x).search(_asked(x), 10, 4), "dist"))(_with_null_rows(r))), _with(_IVF + _TOP.format("true")))
+_add("candidates_null_rows", _on_rows(lambda r: (lambda x: _rounded(search.candidate_join(_asked(x).select(F.col("id").alias("qid")).join(x.where("id % 5 = 0").select("id")), _asked(x), x, 5), "dist"))(_with_null_rows(r))), _knn_sql("l2", 5, "id % 5 = 0"))
+_add("hamming_null_rows", _on_rows(lambda r: binary.hamming_knn(_null_words(_asked(r)), _null_words(r), 10)), _HAM_SQL)
+_add("written_index", _on_rows(lambda r: _rounded(_written_and_read(r), "dist")), _knn_sql("l2", 10))
+_add("within_radius", _on_rows(lambda r: _rounded(search.within_radius(search.range_join(_asked(r), r, 30.0), 12.3456), "dist")), _with(f"SELECT qid, id, round({_score_sql('l2')}, 6) AS dist FROM q, b WHERE {_score_sql('l2')} < 12.3456"))
+_add("chunked_knn", _on_rows(lambda r: _rounded(search.ranked(search._chunk_pairs(search._plain(_asked(r)), search._plain(r), "l2", 2.0, 10, None), 10).select("qid", "rank", "id", "dist"), "dist")), _knn_sql("l2", 10))
+_add("hamming_matches", _on_rows(lambda r: binary.hamming_matches(_codes(_asked(r)), _codes(r), 25)), _with(f"SELECT qid, id FROM q, b WHERE {_HAM} <= 25"))
+_add("hamming_self_count", _on_rows(lambda r: binary.hamming_self_count(_codes(r), 22)), _with(f"SELECT count(*) AS n FROM b q, b WHERE q.id < b.id AND {_HAM} <= 22"))
+_add("binary_from_float", _on_rows(lambda r: binary.from_float(_codes(_asked(r)), _codes(r), 64, 10)), _HAM_SQL)
+_HC = _HAM.replace("q.v", "x.v")
+_add("binary_lists", _on_rows(lambda r: binary.BinaryLists.of(_codes(r.where("id < 16")).select(F.col("id").cast("int").alias("list_no"), "words"), 64).add(_codes(r)).search(_codes(_asked(r)), 10, 4)), _with(
+    f", a AS (SELECT x.id, x.v, arg_min(b.id, struct_pack(d := {_HC}, i := b.id)) AS list_no FROM b x, b WHERE b.id < 16 GROUP BY x.id, x.v), "
+    f"pr AS (SELECT q.qid, b.id AS list_no, row_number() OVER (PARTITION BY q.qid ORDER BY {_HAM}, b.id) - 1 AS rank FROM q, b WHERE b.id < 16), "
+    f"s AS (SELECT q.qid, b.id, {_HAM} AS dist FROM pr JOIN q ON q.qid = pr.qid JOIN a b ON b.list_no = pr.list_no WHERE pr.rank < 4), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM s) SELECT qid, rank::INT AS rank, id, dist FROM r WHERE rank < 10"
+))
+_add("argsorted", _on_rows(lambda r: r.select("id", F.posexplode(V.argsorted(F.col("vec"))).alias("rank", "place"))), _with(
+    ", e AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS place FROM b) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY x, place) - 1)::INT AS rank, place::INT AS place FROM e"
+))
+_add("code_set", _on_rows(lambda r: stats.code_set(_pq(r)[1].select("id", F.get("code", F.lit(0)).alias("c0"), F.get("code", F.lit(1)).alias("c1")), "c0", "c1")), _with(
+    f"{_PQ}, w AS (SELECT x.id, x.code::INT AS c0, y.code::INT AS c1 FROM p x JOIN p y ON x.id = y.id AND x.m = 0 AND y.m = 1) SELECT min(id) AS id, c0, c1 FROM w GROUP BY c0, c1"
+))
+_add("packed_codes", _on_rows(lambda r: _pq(r)[1].select("id", F.posexplode(V.unpacked_codes(V.packed_codes(F.col("code"), 5, 8), 5, 8)).alias("m", "code"))), _with(f"{_PQ} SELECT id, m::INT AS m, code::INT AS code FROM p"))
+_add("ivf_probe_stats", _on_rows(lambda r: _ivf(r).stats(_asked(r), 4)), _with(
+    _IVF + ", n AS (SELECT list_no, count(*) AS size FROM a GROUP BY list_no) SELECT count(DISTINCT qid) AS nq, count(*) AS nlist, sum(size)::BIGINT AS ndis FROM pr LEFT JOIN n USING (list_no) WHERE rank < 4"
+))
+_add("time_for", _on_rows(lambda r: evaluate.time_for(r.select(F.col("label").cast("double").alias("perf"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("t")), 7.0)), "SELECT min((vec_id * 37 % 101)::DOUBLE) AS t FROM embeddings WHERE label >= 7")
+_add("range_scores_average", _on_rows(lambda r: _rounded(evaluate.range_scores_average(search.range_join(_asked(r), r, 20.0), _ivf(r).range_search(_asked(r), 25.0, 4), _asked(r).select(F.col("id").alias("qid"))), "precision", "recall")), _with(
+    _IVF + f", t AS (SELECT qid, id FROM q, b WHERE {_score_sql('l2')} < 20), f AS (SELECT qid, id FROM h WHERE dist < 25), n AS (SELECT q.qid, (SELECT count(*) FROM t WHERE t.qid = q.qid) AS t, "
+    "(SELECT count(*) FROM f WHERE f.qid = q.qid) AS f, (SELECT count(*) FROM t JOIN f USING (qid, id) WHERE t.qid = q.qid) AS c FROM q) "
+    "SELECT round(avg(CASE WHEN f = 0 THEN 1.0::DOUBLE ELSE c::DOUBLE / f END), 6) AS precision, round(avg(CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE c::DOUBLE / t END), 6) AS recall FROM n"
+))
 # Approximate searches: tests hold their recall against exact search, SQL can't follow their walks.
 _add("nn_descent", _on_rows(lambda r: _rounded(graph.nn_descent(r, 8), "dist")))
 for _kind in ("hnsw", "nsg"):
     _add(f"{_kind}_search", _on_rows(lambda r, kind=_kind: _rounded(graph.GraphIndex.build(r, kind, 16).search(_asked(r), 10, 64), "dist")))
 # Trained on the rows themselves: tests hold errors, recall or cost.
-for _n, _text in {"pca_ivf_flat": "PCA16,IVF16,Flat", "opq_ivf_pq_refined": "OPQ8,IVF16,PQ8x4,RFlat", "rabitq_refined": "RaBitQ2,RFlat", "sphere_refined": "ZnLattice8x14_8,RFlat", "minmax_sq8": "MinMax,SQ8"}.items():
-    _add(f"described_{_n}", _on_rows(lambda r, t=_text: _rounded(Index.of(t).train(r).add(r).search(_asked(r), 10, nprobe=8, factor=4.0), "dist")))
+for _n, _text in {"pca_ivf_flat": "PCA32,IVF16,Flat,RFlat", "opq_ivf_pq_refined": "OPQ16,IVF16,PQ16x8,RFlat", "rabitq_refined": "RaBitQ2,RFlat", "sphere_refined": "ZnLattice8x14_8,RFlat", "minmax_sq8": "MinMax,SQ8"}.items():
+    _add(f"described_{_n}", _on_rows(lambda r, t=_text: _rounded(Index.of(t).train(r).add(r).search(_asked(r), 10, nprobe=14, factor=12.0), "dist")))
+for _n, _text in {"flat": "BFlat", "ivf": "BIVF16", "graph_ivf": "BIVF16_HNSW8", "graph": "BHNSW16", "multi_hash": "BHash4x6"}.items():
+    _add(f"described_binary_{_n}", _on_rows(lambda r, t=_text: BinaryIndex.of(t, 64).train(_codes(r)).add(_codes(r)).search(_codes(_asked(r)), 10, nprobe=12, ef=128, flip=2)))
+_add("graph_of_codes", _on_rows(lambda r: _rounded(Index.of("HNSW16,SQ8").train(r).add(r).search(_asked(r), 10, ef=64), "dist")))
 _add("two_level_clusters", _on_rows(lambda r: cluster.Clusters(cluster.two_level(r, 4, 16, 10), []).table(r.sparkSession)))
 _add("progressive_clusters", _on_rows(lambda r: cluster.Clusters(cluster.progressive(r, 16, 4, 5), []).table(r.sparkSession)))
 
