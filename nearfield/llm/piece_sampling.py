@@ -38,6 +38,9 @@ NODES, REMEMBERED_CHARS = 1_500_000, 64
 #: Characters of text worked on at a time, and those of a unit that goes through in windows, and of a window.
 SLICE_CHARS, LONG_CHARS, WINDOW_CHARS = 400_000, 4_096, 1 << 15
 
+#: Slots of the filter of each piece length, as a power of two.
+FILTER_BITS = 18
+
 _B = 0x9E3779B97F4A7C15 | 1
 _WEYL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,10 +85,17 @@ class PieceLattice:
         self.by_length = {}
         for n, rows in normal.items():
             rows.sort()
-            self.by_length[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows]))
+            keys, maybe = np.array([r[0] for r in rows], np.uint64), np.zeros(1 << FILTER_BITS, bool)
+            maybe[self._slot(keys)] = True
+            self.by_length[n] = (keys, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows]), maybe)
         self.byte_weight = -alpha * np.log1p(len(pieces))
         self._forget()
 
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        """Where a hash stands in the filter of its length: most strings that are no piece are out before the search."""
+        return ((h ^ (h >> np.uint64(32))) * _WEYL) >> np.uint64(64 - FILTER_BITS)
+
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
@@ -126,8 +136,8 @@ class PieceLattice:
             h = h * np.uint64(_B) + last + np.uint64(1)
             if n not in self.by_length:
                 continue
-            at = np.flatnonzero(left >= n)
-            keys, piece_ids, weights = self.by_length[n]
+            keys, piece_ids, weights, maybe = self.by_length[n]
+            at = np.flatnonzero(maybe[self._slot(h)] & (left >= n))
             k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
             hit = keys[k] == h[at]
             yield n, at[hit], piece_ids[k[hit]], weights[k[hit]]
@@ -176,15 +186,15 @@ class PieceLattice:
         self.used += total
 
     def _ends(self, units: list[str]) -> np.ndarray:
-        known = self.end
-        missing = {u for u in units if u not in known}
-        if missing:
+        got = list(map(self.end.get, units))
+        if None in got:
+            missing = {u for u, e in zip(units, got, strict=True) if e is None}
             if self.used > NODES:
                 self._forget()
                 missing = set(units)
             self.learn(list(missing))
-            known = self.end
-        return np.array([known[u] for u in units], np.int64)
+            got = list(map(self.end.get, units))
+        return np.array(got, np.int64)
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """One array of ids per text, drawn by (seed, key, place)."""
@@ -220,7 +230,7 @@ class PieceLattice:
         counts = np.array([len(units) for _, _, units in blocks], np.int64)
         units = [u for _, _, own in blocks for u in own]
         node = self._ends(units)
-        sizes = np.array([len(u) + 1 for u in units], np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
         doc = np.repeat(np.arange(len(blocks)), counts)
         begin = np.cumsum(counts) - counts
         place = np.cumsum(sizes)
@@ -230,7 +240,7 @@ class PieceLattice:
         took, drawn = [], []
         while len(live):
             u = _uniform(stream[live], pos)
-            n = (self.share[cur] <= u[:, None]).sum(1)
+            n = (self.share[cur] > u[:, None]).argmax(1)  # the first running share above the draw; the last is 2
             took.append(live)
             drawn.append(self.piece[cur, n].astype(np.int64))
             n += 1

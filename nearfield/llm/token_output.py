@@ -150,33 +150,43 @@ def crc32_combine(a: int, b: int, b_bytes: int) -> int:
 
 
 def _id_rows(tokenizer: str, end_id: int):
+    """Rows of ids; behind a task's last a row with n = -1 whose blob is its counts, ids first. They stand or fall with the
+    task, so a retry counts nothing twice."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = bpe(tokenizer).encode, int(end_id).to_bytes(4, "little")
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
+        total, names = np.zeros(0, np.int64), ["doc_id", "n", "crc", "ids"]
         for batch in batches:
             ids = [encode(t) + end for t in batch.column("text").to_pylist()]
             made = [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64())]
-            small = [np.frombuffer(i, "<u4") for i in ids]
-            made.append(pa.array([press.compress((x.astype("<u2") if x.max() < 65536 else x).tobytes()) for x in small], pa.binary()))
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "crc", "ids"])
+            plain = [np.frombuffer(i, "<u4") for i in ids]
+            for x in plain:
+                counts = np.bincount(x)
+                if len(counts) > len(total):
+                    total = np.pad(total, (0, len(counts) - len(total)))
+                total[: len(counts)] += counts
+            made.append(pa.array([press.compress((x.astype("<u2") if x.max() < 65536 else x).tobytes()) for x in plain], pa.binary()))
+            yield pa.RecordBatch.from_arrays(made, names=names)
+        some = np.nonzero(total)[0]
+        if len(some):
+            blob = press.compress(np.concatenate((some, total[some])).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], names=names)
 
     return rows
 
 
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+def _unpacked(blob: bytes, n: int, unpress: zstandard.ZstdDecompressor) -> np.ndarray:
+    raw = unpress.decompress(blob)
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+    unpress = zstandard.ZstdDecompressor()
     for batch in batches:
-        for blob, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            counts = np.bincount(_unpacked(blob, n), minlength=len(total))
-            counts[: len(total)] += total
-            total = counts
-    some = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+        for blob in batch.column("ids").to_pylist():
+            some, counts = np.frombuffer(unpress.decompress(blob), "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n"])
 
 
 _BLOCK = (
@@ -187,7 +197,7 @@ _BLOCK = (
 
 def _block_rows(freq):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table.of_freq(freq.value)
+        table, unpress = Table.of_freq(freq.value), zstandard.ZstdDecompressor()
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         file_no, block_no, start, doc_no = None, 0, 0, 0
@@ -206,7 +216,7 @@ def _block_rows(freq):
                 file_no = file
                 if held and size + n > BLOCK_TOKENS:
                     yield block(np.concatenate(held), -1)
-                ids = _unpacked(blob, n)
+                ids = _unpacked(blob, n, unpress)
                 if n > BLOCK_TOKENS:
                     for piece, at in enumerate(range(0, n, BLOCK_TOKENS)):
                         part = ids[at : at + BLOCK_TOKENS]
@@ -230,8 +240,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    ids = staged(rows.mapInArrow(_id_rows(tokenizer, end_id), "doc_id long, n long, crc long, ids binary"), "token-ids", codec="none")
-    counted = ids.select("n", "ids").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary has
+    written = staged(rows.mapInArrow(_id_rows(tokenizer, end_id), "doc_id long, n long, crc long, ids binary"), "token-ids", codec="none")
+    ids = written.where("n >= 0")
+    counted = written.where("n < 0").select("ids").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary has
     known, n = counted.column("id").to_numpy(), counted.column("n").to_numpy()
     counts = np.zeros(int(known.max()) + 1 if len(known) else 1, np.int64)
     counts[known] = n
@@ -241,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
     dealt = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
     dealt = dealt.select(F.spark_partition_id().alias("file_no"), "doc_id", "n", "ids")
     dealt.mapInArrow(_block_rows(spark.sparkContext.broadcast(freq)), _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
-    discard(ids)
+    discard(written)
     return folder
 
 

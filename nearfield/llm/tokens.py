@@ -75,7 +75,7 @@ class WordCachedBPE:
         words = self.words
         got = words.old.get(word)
         if got is None:
-            runs = _RUN.findall(word)
+            runs = [word] if word.isascii() and word.isalpha() else _RUN.findall(word)
             if len(runs) == 1 and len(runs[0]) == len(word) and word != "\n":
                 got = self._ids("Ġ" + (word if word.isascii() else "".join([_ALPHABET[b] for b in word.encode()])))
             elif runs and len("".join(runs)) == len(word) and runs[0] != "\n" and "\n\n" not in word:
