@@ -161,11 +161,9 @@ def _id_rows(tokenizer: str, end_id: int):
             ids = [encode(t) + end for t in batch.column("text").to_pylist()]
             made = [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64())]
             plain = [np.frombuffer(i, "<u4") for i in ids]
-            for x in plain:
-                counts = np.bincount(x)
-                if len(counts) > len(total):
-                    total = np.pad(total, (0, len(counts) - len(total)))
-                total[: len(counts)] += counts
+            counts = np.bincount(np.concatenate(plain), minlength=len(total)) if plain else total * 0
+            counts[: len(total)] += total
+            total = counts
             made.append(pa.array([press.compress((x.astype("<u2") if x.max() < 65536 else x).tobytes()) for x in plain], pa.binary()))
             yield pa.RecordBatch.from_arrays(made, names=names)
         some = np.nonzero(total)[0]
