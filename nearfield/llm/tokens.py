@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from array import array
 
-_AFTER_SPACE = re.compile(r"\s ")
 _BREAK = re.compile(r"(?<=\S) ")
 #: Runs that the pre-tokenizer keeps whole. Letters up to U+00FF only: their class is the same in every Unicode version.
 _RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
@@ -25,6 +24,10 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _ALPHABET = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
 
 
+class _Unsplit(Exception):
+    """A word that ends with white space, or none: the space behind it starts no token."""
+
+
 class _Ageing:
     """A dict of two generations."""
 
@@ -70,11 +73,16 @@ class WordCachedBPE:
             runs = ["\0" + u for u, _ in self.pre.pre_tokenize_str(piece)]
         return b"".join([self._unit(u) for u in runs])
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and word; the first run takes the space."""
+    def _word(self, word: str, inner: bool = False) -> bytes:
+        """Ids of a space and word; the first run takes the space. Words that end with white space, or none, are never
+        remembered, so an inner one gets here wherever it is met."""
         words = self.words
         got = words.old.get(word)
         if got is None:
+            if not word or word[-1].isspace():
+                if inner:
+                    raise _Unsplit
+                return self._piece(f" {word}")
             runs = [word] if word.isascii() and word.isalpha() else _RUN.findall(word)
             if len(runs) == 1 and len(runs[0]) == len(word) and word != "\n":
                 got = self._ids("Ġ" + (word if word.isascii() else "".join([_ALPHABET[b] for b in word.encode()])))
@@ -86,9 +94,20 @@ class WordCachedBPE:
         return words.put(word, got) if len(word) <= CACHE_CHARS else got
 
     def encode(self, text: str) -> bytes:
-        parts = _BREAK.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
+        parts, inner = text.split(" "), True
+        if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+            parts, inner = _BREAK.split(text), False
+        try:
+            return self._joined(parts, inner)
+        except _Unsplit:
+            return self._joined(_BREAK.split(text), False)
+
+    def _joined(self, parts: list[str], inner: bool) -> bytes:
         first, known = self._piece(parts[0]), self.words.now
-        return first + b"".join([known.get(w) or self._word(w) for w in parts[1:]])
+        rest = [known.get(w) or self._word(w, inner) for w in parts[1:-1]]
+        if len(parts) > 1:
+            rest.append(known.get(parts[-1]) or self._word(parts[-1]))
+        return first + b"".join(rest)
 
 
 _LOADED: dict[tuple[str, int], WordCachedBPE] = {}

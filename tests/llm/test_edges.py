@@ -237,3 +237,18 @@ def test_many_copies_leave_one(spark, monkeypatch, broadcasts):
     for out in (simhash.deduplicated(docs), shingles.deduplicated(docs)):
         assert 7 in {r["doc_id"] for r in out.collect()}
     assert {r["doc_id"] for r in shingles.deduplicated(docs).collect()} == {7, 50}
+
+
+def test_words_with_white_space_around_them():
+    """Spaces behind white space start no token, whatever was remembered before."""
+    from tokenizers import Tokenizer
+
+    from nearfield.llm.tokens import WordCachedBPE
+
+    whole, cached = Tokenizer.from_file(default_path()), WordCachedBPE(default_path(), 50)
+    whole.encode_special_tokens = True
+    rng = np.random.default_rng(9)
+    parts = ["a", "foo", " ", "  ", "\n", "\t", "é", "日", "23", "!", "\x1c", "\n\n", "\r\n", " the", "\x85", "ª", "<|endoftext|>"]
+    for _ in range(2_000):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert cached.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
