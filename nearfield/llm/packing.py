@@ -36,11 +36,11 @@ CACHE_WORDS = 120_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows of _PIECE: each document's ids and the end id, the first piece taking what is over a multiple of capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = bpe(tokenizer, CACHE_WORDS).encode, int(end_id).to_bytes(4, "little")
+        encode, end = bpe(tokenizer, cache_words).encode, int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -184,5 +184,5 @@ def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITIO
     return Packing(out, told, bins, bound)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity).sequences
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+    return pack(staged(pieces(docs, tokenizer, capacity, end_id, cache_words=cache_words), "pieces"), capacity).sequences

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import chat, exact_dedup, line_dedup, media, packing, piece_sampling, quality, simhash, token_output, warc
 from nearfield.llm.common import documents
-from nearfield.llm.tokens import default_path
+from nearfield.llm.tokens import CACHE_WORDS, default_path
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ FROM d
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(documents(spark, sf_dir), default_path())
+    return packing.packed_documents(documents(spark, sf_dir), default_path(), cache_words=CACHE_WORDS)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
