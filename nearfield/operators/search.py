@@ -21,6 +21,8 @@ from nearfield.functions.metrics import block, descending, distance
 BLOCK_QUERIES, BLOCK_ELEMENTS = 4096, 4_000_000
 #: Query sets of more blocks than that don't pass through the driver: chunks of queries meet chunks of the base in tasks.
 MOST_BLOCKS = 16
+#: Hits that a task holds before it passes them on, give or take a batch: a wide radius finds a block times a batch.
+HIT_ROWS = 1 << 17
 
 _HITS = "qid long, id long, dist double"
 
@@ -77,6 +79,20 @@ def _hits(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.float64))], names=["qid", "id", "dist"])
 
 
+def _hits_in_parts(found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(qid, ids, scores) as they are found, some HIT_ROWS rows at a time."""
+    rows, n = [], 0
+    for qid, ids, s in found:
+        if len(ids):
+            rows.append((np.full(len(ids), qid), ids, s))
+            n += len(ids)
+        if n >= HIT_ROWS:
+            yield _hits(rows)
+            rows, n = [], 0
+    if rows:
+        yield _hits(rows)
+
+
 def keep_best(k: int, metric: str) -> Callable[[np.ndarray, float], np.ndarray]:
     """Places of scores that may be among the k best, give or take a slack."""
     sign = -1.0 if descending(metric) else 1.0
@@ -131,7 +147,7 @@ def searched(rows: DataFrame, shared: Any, scored: Callable[[Any, pa.RecordBatch
         keep = keep_within(radius, metric)
         for batch in batches:
             ids, qid = batch.column("id").to_numpy(), shared.value[0]
-            yield _hits([(np.full(len(at), qid[i]), ids[at], s) for i, at, s in scored(shared.value, batch, keep)])
+            yield from _hits_in_parts((qid[i], ids[at], s) for i, at, s in scored(shared.value, batch, keep))
 
     return rows.mapInArrow(best if k is not None else within, _HITS)
 
@@ -172,7 +188,7 @@ def _chunk_pairs(queries: DataFrame, base: DataFrame, metric: str, arg: float, k
                 qid, q, n, ids, x, m = (batch.column(c)[i].as_py() for c in ("qids", "qvecs", "qn", "ids", "vecs", "n"))
                 qid, ids = np.frombuffer(qid, np.int64), np.frombuffer(ids, np.int64)
                 found = _scores(np.frombuffer(q).reshape(n, -1), np.frombuffer(x).reshape(m, -1), metric, arg, keep)
-                yield _hits([(np.full(len(at), qid[j]), ids[at], s) for j, at, s in found])
+                yield from _hits_in_parts((qid[j], ids[at], s) for j, at, s in found)
 
     return pairs.mapInArrow(meet, _HITS)
 
