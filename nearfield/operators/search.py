@@ -23,6 +23,8 @@ BLOCK_QUERIES, BLOCK_ELEMENTS = 4096, 4_000_000
 MOST_BLOCKS = 16
 #: Hits that a task holds before it passes them on, give or take a batch: a wide radius finds a block times a batch.
 HIT_ROWS = 1 << 17
+#: Groups of a batch that are looked at one by one; more are sorted together.
+FEW_GROUPS = 64
 
 _HITS = "qid long, id long, dist double"
 
@@ -164,7 +166,8 @@ _CHUNK = "ids binary, vecs binary, n int"
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """rows (id, vec) packed into chunks of at most a block."""
+    """rows (id, vec) packed into chunks of at most a block; with a column grp, that of each row too, in an array grps."""
+    grouped = "grp" in rows.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +175,12 @@ def _chunks(rows: DataFrame) -> DataFrame:
             size = max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, x.shape[1])))
             for a in range(0, len(ids), size):
                 part = ids[a : a + size]
-                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([x[a : a + size].tobytes()], pa.binary()), pa.array([len(part)], pa.int32())], names=["ids", "vecs", "n"])
+                made = [pa.array([part.tobytes()], pa.binary()), pa.array([x[a : a + size].tobytes()], pa.binary()), pa.array([len(part)], pa.int32())]
+                if grouped:
+                    made.append(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column("grp").slice(a, size)))
+                yield pa.RecordBatch.from_arrays(made, names=["ids", "vecs", "n", "grps"][: len(made)])
 
-    return rows.mapInArrow(pack, _CHUNK)
+    return rows.mapInArrow(pack, f"{_CHUNK}, grps array<{rows.schema['grp'].dataType.simpleString()}>" if grouped else _CHUNK)
 
 
 def _chunk_pairs(queries: DataFrame, base: DataFrame, metric: str, arg: float, k: int | None, radius: float | None) -> DataFrame:
@@ -197,11 +203,16 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.where("vec is not null and id is not null").select(F.col("id").cast("long").alias("id"), "vec")
 
 
+def _many(queries: DataFrame) -> bool:
+    """Whether queries (id, vec) are too many to pass through the driver."""
+    size, dim = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return size > MOST_BLOCKS * max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, dim or 1)))
+
+
 def joined(queries: DataFrame, base: DataFrame, metric: str, arg: float = 2.0, k: int | None = None, radius: float | None = None) -> DataFrame:
     """Hits (qid, id, dist) that hold the k best of each query, or all within the radius."""
     q, rows, spark = _plain(queries), _plain(base), base.sparkSession
-    size, dim = q.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if size > MOST_BLOCKS * max(1, min(BLOCK_QUERIES, BLOCK_ELEMENTS // max(1, dim or 1))):
+    if _many(q):
         return _chunk_pairs(q, rows, metric, arg, k, radius)
     parts = [searched(rows, spark.sparkContext.broadcast(b), _all_pairs(metric, arg), metric, k, radius) for b in _query_blocks(q)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _HITS)
@@ -295,14 +306,127 @@ def merged(results: list[DataFrame], k: int, metric: str = "l2") -> DataFrame:
     return ranked(every.groupBy("qid", "id").agg(best.alias("dist")), k, metric).select("qid", "rank", "id", "dist")
 
 
-def diverse(hits: DataFrame, groups: DataFrame, k: int, per_group: int, metric: str = "l2") -> DataFrame:
-    """The k best hits with at most per_group of each group (groups: id, grp)."""
+def _of_groups(hits: DataFrame, k: int, per_group: int, metric: str) -> DataFrame:
     score = F.col("dist").desc() if descending(metric) else F.col("dist").asc()
     w = Window.partitionBy("qid", "grp").orderBy(score, F.col("id"))
-    few = hits.select("qid", "id", "dist").join(groups, "id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_group)
+    few = hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_group)
     return ranked(few, k, metric).select("qid", "rank", "id", "grp", "dist")
 
 
+def diverse(hits: DataFrame, groups: DataFrame, k: int, per_group: int, metric: str = "l2") -> DataFrame:
+    """The k best hits with at most per_group of each group (groups: id, grp)."""
+    return _of_groups(hits.select("qid", "id", "dist").join(groups, "id"), k, per_group, metric)
+
+
+def _first_of_each(codes: np.ndarray, few: int) -> np.ndarray:
+    """Places, in order, of the first few of each code."""
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(starts, append=len(codes)))
+    return np.sort(order[place < few])
+
+
+class BestOfGroups:
+    """The k best (id, score) of each query with at most `few` of a group, in a task. A row among the best of all rows is
+    among the best of any part of them that holds it: fewer better rows count there. So k per query are enough to hold."""
+
+    def __init__(self, k: int, few: int, metric: str, arg: float) -> None:
+        self.k, self.few, self.metric, self.arg, self.sign = k, few, metric, arg, -1.0 if descending(metric) else 1.0
+        self.numbers: dict = {}
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _keep(self, groups: np.ndarray) -> Callable[[np.ndarray, float], np.ndarray]:
+        """Places of scores that may be among the best of rows of these groups, give or take a slack."""
+        names, codes = np.unique(groups, return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        place = np.arange(len(codes)) - np.repeat(starts, np.diff(starts, append=len(codes)))
+        runs = np.split(order, starts[1:]) if len(names) <= FEW_GROUPS else []
+
+        def edges(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The few-th best score of each group, and the few best of all groups in any order."""
+            edge = np.full(len(names), np.inf)
+            if not runs:
+                order = np.lexsort((s, codes))
+                last = order[place == self.few - 1]
+                edge[codes[last]] = s[last]
+                return edge, s[order[place < self.few]]
+            first = [np.partition(s[r], self.few - 1)[: self.few] if len(r) >= self.few else s[r] for r in runs]
+            for i, best in enumerate(first):
+                if len(best) == self.few:
+                    edge[i] = best[-1]
+            return edge, np.concatenate(first)
+
+        def keep(scores: np.ndarray, slack: float = 0.0) -> np.ndarray:
+            s = np.where(np.isnan(scores), np.inf, self.sign * scores)
+            if len(s) < len(codes):  # exact scores of rows that were screened before
+                return np.flatnonzero(s < np.inf)
+            edge, first = edges(s)
+            if len(first) > self.k:
+                edge = np.minimum(edge, np.partition(first, self.k - 1)[self.k - 1])
+            return np.flatnonzero((s <= edge[codes] + slack) & (s < np.inf))
+
+        return keep
+
+    def add(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, groups: pa.Array) -> None:
+        if not len(ids):
+            return
+        coded = groups.dictionary_encode(null_encoding="encode")
+        names = [v if v == v else "nan" for v in coded.dictionary.to_pylist()]
+        numbers = np.array([self.numbers.setdefault((type(v), v), len(self.numbers)) for v in names], np.int64)[coded.indices.to_numpy()]
+        for i, at, s in _scores(q, x, self.metric, self.arg, self._keep(numbers)):
+            row = (ids[at], self.sign * s, numbers[at])
+            if i in self.held:
+                row = tuple(np.append(a, b) for a, b in zip(self.held[i], row, strict=True))
+            order = np.lexsort(row[:2])
+            order = order[_first_of_each(row[2][order], self.few)[: self.k]]
+            self.held[i] = tuple(c[order] for c in row)
+
+    def hits(self, qid: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        out = _hits([(np.full(len(ids), qid[i]), ids, self.sign * s) for i, (ids, s, _) in self.held.items()])
+        names = [float("nan") if (t, v) == (str, "nan") and pa.types.is_floating(kind) else v for t, v in self.numbers]
+        groups = pa.array([names[n] for _, _, found in self.held.values() for n in found.tolist()], kind)
+        return pa.RecordBatch.from_arrays([*out.columns, groups], names=["qid", "id", "dist", "grp"])
+
+
+def diverse_join(queries: DataFrame, base: DataFrame, k: int, per_group: int, metric: str = "l2", arg: float = 2.0) -> DataFrame:
+    """The k best base rows (id, vec, grp) for each query (id, vec), at most per_group of a group: qid, rank, id, grp, dist.
+
+    As in knn_join a task keeps k rows per query, so neither the pairs nor a row per group are shuffled. Groups are numbers,
+    strings, dates or truth values; a task holds the names of those in its rows. Null is a group."""
+    if k <= 0 or per_group <= 0:
+        raise ValueError("k and per_group must be positive")
+    spark, q = base.sparkSession, _plain(queries)
+    rows = base.where("vec is not null and id is not null").select(F.col("id").cast("long").alias("id"), "vec", "grp")
+    schema = f"{_HITS}, grp {rows.schema['grp'].dataType.simpleString()}"
+
+    def best(shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, kind = BestOfGroups(k, per_group, metric, arg), None
+            for batch in batches:
+                kind = batch.column("grp").type
+                held.add(shared.value[1], _matrix(batch.column("vec")), batch.column("id").to_numpy(), batch.column("grp"))
+            if kind is not None:
+                yield held.hits(shared.value[0], kind)
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, groups = BestOfGroups(k, per_group, metric, arg), batch.column("grps")[i].values
+                qid, q, n, ids, x, m = (batch.column(c)[i].as_py() for c in ("qids", "qvecs", "qn", "ids", "vecs", "n"))
+                held.add(np.frombuffer(q).reshape(n, -1), np.frombuffer(x).reshape(m, -1), np.frombuffer(ids, np.int64), groups)
+                yield held.hits(np.frombuffer(qid, np.int64), groups.type)
+
+    if _many(q):
+        hits = _chunks(q).toDF("qids", "qvecs", "qn").crossJoin(_chunks(rows)).mapInArrow(meet, schema)
+    else:
+        parts = [rows.mapInArrow(best(spark.sparkContext.broadcast(b)), schema) for b in _query_blocks(q)]
+        hits = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return _of_groups(hits, k, per_group, metric)
+
+
 def budgeted(hits: DataFrame, most: int, metric: str = "l2") -> DataFrame:
     """A range result cut to at most `most` rows by a smaller radius: the (most + 1)-th best score, strictly."""
     order = F.col("dist").desc() if descending(metric) else F.col("dist").asc()

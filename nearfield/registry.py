@@ -167,7 +167,7 @@ _add(
     "SELECT qid, rank, coalesce(id, -1) AS id, round(coalesce(dist, 3.4028234663852886e38), 6) AS dist FROM s LEFT JOIN h USING (qid, rank)",
 )
 _add(
-    "diverse_l2", _on_rows(lambda r: _rounded(search.diverse(search.pairwise(_asked(r), r), r.select("id", F.col("label").alias("grp")), 10, 2), "dist")),
+    "diverse_l2", _on_rows(lambda r: _rounded(search.diverse_join(_asked(r), r.select("id", "vec", F.col("label").alias("grp")), 10, 2), "dist")),
     _with(
         f", s AS (SELECT qid, id, label AS grp, {_score_sql('l2')} AS dist FROM q, b), g AS (SELECT *, row_number() OVER (PARTITION BY qid, grp ORDER BY dist, id) AS n FROM s), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS rank FROM g WHERE n <= 2) SELECT qid, rank::INT AS rank, id, grp, round(dist, 6) AS dist FROM r WHERE rank < 10"

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.operators import search
 
@@ -27,3 +28,43 @@ def test_a_task_passes_hits_on_in_parts(metric):
     sizes = [b.num_rows for b in run(iter(batches))]
     assert sum(sizes) == 60 * 20_000
     assert max(sizes) <= search.HIT_ROWS + 10_000
+
+
+def _table(n=400, groups=7):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (n, 3)).astype(float)  # many equal scores
+    return x, rng.integers(0, groups, n)
+
+
+def _brute(x, grp, queries, k, few, sign=1.0, score=lambda a, b: ((a - b) ** 2).sum(1)):
+    out = set()
+    for q in queries:
+        dist, seen, rank = score(x, x[q]), {}, 0
+        for i in np.lexsort((np.arange(len(x)), sign * dist)).tolist():
+            if seen.get(grp[i], 0) < few and rank < k:
+                out.add((q, rank, i, grp[i], float(dist[i])))
+                seen[grp[i]], rank = seen.get(grp[i], 0) + 1, rank + 1
+    return out
+
+
+@pytest.mark.parametrize("groups", [7, 300])
+@pytest.mark.parametrize("many", [False, True])
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_diverse_join_equals_brute_force(spark, monkeypatch, groups, many, metric):
+    x, grp = _table(groups=groups)
+    names = [None if g == 3 else f"g{g}" for g in grp.tolist()]
+    base = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, names, strict=True))], "id long, vec array<double>, grp string").repartition(3)
+    base = base.unionByName(spark.createDataFrame([(900, None, "g1")], base.schema))
+    if many:
+        monkeypatch.setattr(search, "MOST_BLOCKS", 0)
+    got = search.diverse_join(base.where("id % 20 = 0"), base, 6, 2, metric).collect()
+    score = (lambda a, b: a @ b) if metric == "ip" else lambda a, b: ((a - b) ** 2).sum(1)
+    assert {tuple(r) for r in got} == _brute(x, names, range(0, 400, 20), 6, 2, -1.0 if metric == "ip" else 1.0, score)
+
+
+def test_a_task_holds_k_rows_of_all_groups():
+    x, grp = _table(groups=300)
+    held = search.BestOfGroups(5, 2, "l2", 2.0)
+    for a in range(0, 400, 100):
+        held.add(x[:8], x[a : a + 100], np.arange(a, a + 100), pa.array(grp[a : a + 100]))
+    assert held.hits(np.arange(8), pa.int64()).num_rows == 8 * 5
