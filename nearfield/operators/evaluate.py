@@ -59,10 +59,15 @@ def time_for(points: DataFrame, perf: float) -> DataFrame:
 
 
 def curve(truth: DataFrame, found: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """threshold, precision, recall of the found rows with dist < threshold, for a small table of thresholds."""
-    marked = found.join(truth.select("qid", "id").distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left").select("dist", F.coalesce("hit", F.lit(0)).alias("hit"))
-    total = truth.select("qid", "id").distinct().agg(F.count("*").alias("total"))
-    by = thresholds.join(marked, F.col("dist") < F.col("threshold"), "left").groupBy("threshold").agg(F.count("dist").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
+    """threshold, precision, recall of the found rows with dist < threshold, for a small table of thresholds: that one is
+    sent to the found rows, which are counted where they are joined. A repeated threshold counts once."""
+    asked = thresholds.select("threshold").distinct()
+    known = truth.select("qid", "id").distinct()
+    low = found.select("qid", "id", "dist").join(F.broadcast(asked.agg(F.max("threshold").alias("most"))), F.col("dist") < F.col("most")).drop("most")
+    marked = low.join(known.withColumn("hit", F.lit(1)), ["qid", "id"], "left").select("dist", F.coalesce("hit", F.lit(0)).alias("hit"))
+    met = marked.join(F.broadcast(asked), F.col("dist") < F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    total = known.agg(F.count("*").alias("total"))
+    by = asked.join(met.withColumnRenamed("threshold", "t"), F.col("threshold") == F.col("t"), "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hits", F.lit(0)).alias("hits"))
     out = by.crossJoin(F.broadcast(total))
     precision = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.col("hits") / F.when(F.col("n") != 0, F.col("n")))
     recall = F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("hits") / F.when(F.col("total") != 0, F.col("total")))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import search
+from nearfield.operators import evaluate, search
 
 
 class _Shared:
@@ -68,3 +68,14 @@ def test_a_task_holds_k_rows_of_all_groups():
     for a in range(0, 400, 100):
         held.add(x[:8], x[a : a + 100], np.arange(a, a + 100), pa.array(grp[a : a + 100]))
     assert held.hits(np.arange(8), pa.int64()).num_rows == 8 * 5
+
+
+def test_a_curve_sends_thresholds_to_the_found_rows(spark):
+    truth = spark.createDataFrame([(0, 1), (0, 2), (0, 2), (1, 5), (1, 6)], "qid long, id long")
+    found = spark.createDataFrame([(0, 1, 0.5), (0, 3, 1.5), (1, 5, 1.5), (1, 6, 9.0), (1, 7, None), (1, 8, float("nan"))], "qid long, id long, dist double")
+    thresholds = spark.createDataFrame([(0.1,), (1.0,), (2.0,), (2.0,), (None,)], "threshold double")
+    out = evaluate.curve(truth, found, thresholds)
+    assert {tuple(r) for r in out.collect()} == {(0.1, 1.0, 0.0), (1.0, 1.0, 0.25), (2.0, 2 / 3, 0.5), (None, 1.0, 0.0)}
+    plan = out._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin BuildRight, Inner" in plan
+    assert "BroadcastNestedLoopJoin BuildRight, LeftOuter" not in plan
