@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import bounded_batches, discard, scratch_path, staged, whole
-from nearfield.llm.tokens import bpe
+from nearfield.llm.tokens import bpe, forget
 
 SCALE_BITS, LANES, BLOCK_TOKENS = 20, 2048, 1 << 19
 _LOW = np.uint64(1 << 31)
@@ -81,16 +81,15 @@ def encode_block(ids: np.ndarray, t: Table) -> Block:
     grid = grid.reshape(steps, LANES)
     x, out, check, written = np.full(LANES, _LOW, np.uint64), [], None, 0
     freqs, cums = t.freq[grid], t.cum[grid]
-    limits = freqs << np.uint64(63 - SCALE_BITS)
+    limits, spare = freqs << np.uint64(63 - SCALE_BITS), np.uint64(1 << SCALE_BITS) - freqs
     for s in range(steps - 1, -1, -1):
-        full = x >= limits[s]
-        if full.any():
-            words = x[full].astype(np.uint32)
-            out.append(words)
+        full = np.flatnonzero(x >= limits[s])
+        if len(full):
+            words = x[full]
+            out.append(words.astype(np.uint32))
             written += len(words)
-            x[full] >>= _WORD
-        q, r = np.divmod(x, freqs[s])
-        x = (q << np.uint64(SCALE_BITS)) + r + cums[s]
+            x[full] = words >> _WORD
+        x += x // freqs[s] * spare[s] + cums[s]  # the quotient shifted, the remainder and the running sum
         if s == steps // 2:
             check = (written, x.copy())
     return Block(np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32), x, written - check[0], check[1])
@@ -102,11 +101,14 @@ def _decode_steps(words: np.ndarray, states: np.ndarray, at: int, steps: int, t:
     mask = np.uint64((1 << SCALE_BITS) - 1)
     for s in range(steps):
         slot = x & mask
-        symbol = t.symbol[slot]
+        symbol = t.symbol.take(slot.view(np.int64)).astype(np.int64)
         out[s] = symbol
-        x = t.freq[symbol] * (x >> np.uint64(SCALE_BITS)) + slot - t.cum[symbol]
-        low = x < _LOW
-        k = int(np.count_nonzero(low))
+        x >>= np.uint64(SCALE_BITS)
+        x *= t.freq.take(symbol)
+        x += slot
+        x -= t.cum.take(symbol)
+        low = np.flatnonzero(x < _LOW)
+        k = len(low)
         if k:
             x[low] = (x[low] << _WORD) | words[at : at + k]
             at += k
@@ -195,6 +197,7 @@ _BLOCK = (
 
 def _block_rows(freq):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table, unpress = Table.of_freq(freq.value), zstandard.ZstdDecompressor()
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
@@ -264,6 +267,7 @@ def read_frequencies(spark: SparkSession, folder: str) -> np.ndarray:
 
 def _decoded_rows(freq):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table = Table.of_freq(freq.value)
         for batch in batches:
             for row in batch.to_pylist():

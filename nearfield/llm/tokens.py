@@ -9,8 +9,12 @@ which the next full one replaces.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from array import array
+from codecs import charmap_decode
+
+import pyarrow as pa
 
 _BREAK = re.compile(r"(?<=\S) ")
 #: Runs that the pre-tokenizer keeps whole. Letters up to U+00FF only: their class is the same in every Unicode version.
@@ -21,7 +25,12 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 40
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 and up.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
-_ALPHABET = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
+_ALPHABET = "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256))
+
+
+def _form(text: str) -> str:
+    """A text's bytes in the byte-level alphabet."""
+    return charmap_decode(text.encode(), "strict", _ALPHABET)[0]
 
 
 class _Unsplit(Exception):
@@ -61,7 +70,7 @@ class WordCachedBPE:
     def _unit(self, unit: str) -> bytes:
         got = self.units.now.get(unit) or self.units.old.get(unit)
         if got is None:
-            got = self._ids(unit[1:] if unit[:1] == "\0" else "".join([_ALPHABET[b] for b in unit.encode()]))
+            got = self._ids(unit[1:] if unit[:1] == "\0" else _form(unit))
             if len(unit) <= CACHE_CHARS:
                 self.units.put(unit, got)
         return got
@@ -85,7 +94,7 @@ class WordCachedBPE:
                 return self._piece(f" {word}")
             runs = [word] if word.isascii() and word.isalpha() else _RUN.findall(word)
             if len(runs) == 1 and len(runs[0]) == len(word) and word != "\n":
-                got = self._ids("Ġ" + (word if word.isascii() else "".join([_ALPHABET[b] for b in word.encode()])))
+                got = self._ids("Ġ" + (word if word.isascii() else _form(word)))
             elif runs and len("".join(runs)) == len(word) and runs[0] != "\n" and "\n\n" not in word:
                 first = runs[0]
                 got = (words.now.get(first) or self._word(first)) + b"".join([self._unit(u) for u in runs[1:]])
@@ -120,6 +129,17 @@ def bpe(path: str, cache_words: int = CACHE_WORDS) -> WordCachedBPE:
     return _LOADED[path, cache_words]
 
 
+def forget() -> None:
+    """Give back what this Python worker holds for words. Workers live on after a task, and Spark hands tasks to all idle
+    ones in turn: what they remember adds up behind other work."""
+    if _LOADED:
+        _LOADED.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory until asked
+        if trim is not None:
+            trim(0)
+
+
 def default_path() -> str:
     import public_tokenizers
 
