@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import bounded_batches, staged, whole
-from nearfield.llm.tokens import bpe
+from nearfield.llm.tokens import bpe, forget
 
 #: Pieces that one task packs at a time, and how often leftovers are dealt anew at most.
 PARTITION_PIECES, MAX_ROUNDS = 65_536, 8
@@ -36,8 +36,9 @@ CACHE_WORDS = 120_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Rows of _PIECE: each document's ids and the end id, the first piece taking what is over a multiple of capacity."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, lasting: bool = False) -> DataFrame:
+    """Rows of _PIECE: each document's ids and the end id, the first piece taking what is over a multiple of capacity.
+    lasting: workers remember words from task to task; else they give that memory back."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = bpe(tokenizer, cache_words).encode, int(end_id).to_bytes(4, "little")
@@ -51,6 +52,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        if not lasting:
+            del encode
+            forget()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(cut, _PIECE)
@@ -184,5 +188,5 @@ def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITIO
     return Packing(out, told, bins, bound)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer, capacity, end_id, cache_words=cache_words), "pieces"), capacity).sequences
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS, lasting: bool = False) -> DataFrame:
+    return pack(staged(pieces(docs, tokenizer, capacity, end_id, cache_words=cache_words, lasting=lasting), "pieces"), capacity).sequences

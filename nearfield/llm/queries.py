@@ -32,7 +32,7 @@ FROM d
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(documents(spark, sf_dir), default_path(), cache_words=CACHE_WORDS)
+    return packing.packed_documents(documents(spark, sf_dir), default_path(), cache_words=CACHE_WORDS, lasting=True)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

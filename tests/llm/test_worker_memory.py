@@ -1,8 +1,33 @@
 """What Python workers hold of words once a task is done."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from nearfield.llm import token_output, tokens
+from nearfield.llm import packing, token_output, tokens
+
+
+class _Rows:
+    """Stands for a table: what a task would run."""
+
+    sparkSession = None
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("lasting", [False, True])
+def test_packing_gives_words_back_behind_a_task(spark, monkeypatch, lasting):
+    monkeypatch.setattr(packing, "bounded_batches", lambda s: None)
+    run = packing.pieces(_Rows(), tokens.default_path(), lasting=lasting)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, añadió", ""])], names=["doc_id", "text"])
+    out = pa.Table.from_batches(list(run(iter([batch]))))
+    assert out.column("doc_id").to_pylist() == [1, 2] and out.column("length").to_pylist()[1] == 1
+    assert bool(tokens._LOADED) is lasting
+    tokens.forget()
 
 
 def test_coding_blocks_gives_words_back():
