@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: A table of at most this many rows and bytes may be broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32 << 20
 
+#: Rows of a few numbers that go to one file at least, where a bound for a table's rows is known.
+FILE_ROWS = 1 << 17
+
 #: Rows and bytes in an Arrow batch of texts.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
@@ -39,9 +42,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/nearfield/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and reread it: lineage ends there, and a lost executor costs only its own tasks."""
+def staged(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd", most: int | None = None) -> DataFrame:
+    """Write df to the shared folder and reread it: lineage ends there, and a lost executor costs only its own tasks.
+
+    most: df, which comes from a shuffle, has at most so many rows, of a few numbers; FILE_ROWS of them make a file. Else a
+    small table has a file for each shuffle partition, and on a local file system without Hadoop's native library an
+    executor starts a process (chmod) several times a file, each of which counts as large as the JVM until it runs."""
     path = scratch_path(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     writer = df.write.option("compression", codec)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -172,11 +172,12 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 def classes(prints: DataFrame, bits: int = 2) -> DataFrame:
     """prints (doc_id, fp), staged, to (fp, part, component_id): a name of fp's component and its smallest doc_id."""
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    parts = connected_components(links(nodes, bits).toDF("u", "v"))
+    n = prints.count()  # from the footers of what is staged
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes", most=n)
+    parts = connected_components(links(nodes, bits).toDF("u", "v"), n * len(index_masks(bits)))  # a list's links are fewer than its rows
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("part"))
-    named = staged(named, "simhash-parts")
-    return with_least(named, "part", "node", "component_id").select("fp", "part", "component_id")
+    named = staged(named, "simhash-parts", most=n)
+    return with_least(named, "part", "node", "component_id", n).select("fp", "part", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
