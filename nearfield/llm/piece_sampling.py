@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ SLICE_CHARS, LONG_CHARS, WINDOW_CHARS = 400_000, 4_096, 1 << 15
 
 #: Slots of the filter of each piece length, as a power of two.
 FILTER_BITS = 18
+#: Slots of the table of all pieces, as a power of two.
+TABLE_BITS = 19
 
 _B = 0x9E3779B97F4A7C15 | 1
 _WEYL = np.uint64(0x9E3779B97F4A7C15)
@@ -89,12 +92,21 @@ class PieceLattice:
             maybe[self._slot(keys)] = True
             self.by_length[n] = (keys, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows]), maybe)
         self.byte_weight = -alpha * np.log1p(len(pieces))
+        every = [(h, i, w, n) for n, rows in normal.items() for h, i, w in rows]
+        slots = self._slot(np.array([e[0] for e in every], np.uint64), TABLE_BITS).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        per_slot = np.bincount(slots, minlength=1 << TABLE_BITS)
+        #: All pieces by the slot of their hash: those of a slot from first[slot] on, at most `run`, and as many that stand for none.
+        self.run, self.taken, self.first = int(per_slot.max()), per_slot > 0, (np.cumsum(per_slot) - per_slot).astype(np.int32)
+        by_slot = [every[i] for i in order.tolist()] + [(0, 0, 0.0, 0)] * self.run
+        self.keys, self.piece_ids = np.array([e[0] for e in by_slot], np.uint64), np.array([e[1] for e in by_slot], np.int32)
+        self.weights, self.lengths = np.array([e[2] for e in by_slot]), np.array([e[3] for e in by_slot], np.int32)
         self._forget()
 
     @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
+    def _slot(h: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
         """Where a hash stands in the filter of its length: most strings that are no piece are out before the search."""
-        return ((h ^ (h >> np.uint64(32))) * _WEYL) >> np.uint64(64 - FILTER_BITS)
+        return ((h ^ (h >> np.uint64(32))) * _WEYL) >> np.uint64(64 - bits)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -148,53 +160,88 @@ class PieceLattice:
         return -np.where(code == 0x110000, ord(SPACE), code).astype(np.int64) - 1
 
     def learn(self, units: list[str]) -> None:
-        """Forward filtering: the lattices of units that aren't known. A unit's characters are SPACE, then its own."""
+        """Forward filtering: the lattices of units that aren't known. A unit's characters are SPACE, then its own.
+
+        All units of at least j characters take step j at once. Row r of `hashes` and `alpha` belongs to the pieces that
+        start at one character: their hash up to here, and alpha before them. The last `longest` rows are in use."""
         units = sorted(units, key=len, reverse=True)
+        if not units:
+            return
         sizes = np.array([len(u) + 1 for u in units], np.int64)
         total = int(sizes.sum())
         self._room(total)
         code = self._chars(units)
         starts = np.cumsum(sizes) - sizes
-        left = np.repeat(starts + sizes, sizes) - np.arange(total)  # characters from here to the unit's end
-        weight = np.full((self.longest, total), -np.inf)  # of the piece of length l + 1 that starts here
-        ids = np.full((self.longest, total), 0, np.int32)
-        for n, at, piece_ids, weights in self._matches(code, left):
-            weight[n - 1, at] = weights
-            ids[n - 1, at] = piece_ids
-        bare = np.isneginf(weight[0])
-        weight[0, bare] = self.byte_weight
-        ids[0, bare] = self._bare_ids(code[bare])
-        alpha = np.zeros(total)  # alpha[i] belongs to the end of character i; before a unit's first it is 0
-        for j in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-            m = int(np.searchsorted(-sizes, -j, "right"))  # units of at least j characters
+        rows = 4 * self.longest
+        hashes = np.empty((rows, len(units)), np.uint64)
+        alpha = np.zeros((rows + 1, len(units)))  # before a unit's first character it is 0
+        r = -1
+        for j, m in enumerate(np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right").tolist(), 1):
+            r += 1
+            if r == rows:
+                r = self.longest - 1
+                hashes[:r, :m] = hashes[rows - r :, :m]
+                alpha[: r + 1, :m] = alpha[rows - r :, :m]
             ends = starts[:m] + j - 1
+            here = code[ends]
             reach = min(j, self.longest)
-            terms = np.empty((reach, m))
-            for n in range(1, reach + 1):
-                terms[n - 1] = weight[n - 1, ends - n + 1] + (alpha[ends - n] if n < j else 0.0)
+            hashes[r, :m] = 0
+            h = hashes[r - reach + 1 : r + 1, :m]
+            h *= np.uint64(_B)
+            h += here + np.uint64(1)
+            terms = np.full((reach, m), -np.inf)  # row n - 1: the piece of length n that ends here
+            ids = np.zeros((reach, m), np.int32)
+            row, at, k = self._found(h)
+            terms[row, at] = self.weights[k]
+            ids[row, at] = self.piece_ids[k]
+            bare = np.isneginf(terms[0])
+            if bare.any():
+                terms[0, bare] = self.byte_weight
+                ids[0, bare] = self._bare_ids(here[bare])
+            terms += alpha[r - reach + 1 : r + 1, :m][::-1]
             top = terms.max(0)
-            shares = np.exp(terms - top)
+            terms -= top
+            shares = np.exp(terms, out=terms)
             total_share = shares.sum(0)
-            alpha[ends] = top + np.log(total_share)
-            rows = self.used + ends
-            self.share[rows, :reach] = (np.cumsum(shares, 0) / total_share).T
-            self.share[rows, reach - 1 :] = 2.0
-            for n in range(1, reach + 1):
-                self.piece[rows, n - 1] = ids[n - 1, ends - n + 1]
-        for u, e in zip(units, (self.used + starts + sizes - 1).tolist(), strict=True):
-            self.end[u] = e
+            alpha[r + 1, :m] = top + np.log(total_share)
+            to = self.used + ends
+            own = np.full((m, self.longest), 2.0, np.float32)
+            own[:, : reach - 1] = (np.cumsum(shares[:-1], 0) / total_share).T
+            self.share[to] = own
+            own = np.zeros((m, self.longest), np.int32)
+            own[:, :reach] = ids.T
+            self.piece[to] = own
+        self.end.update(zip(units, (self.used + starts + sizes - 1).tolist(), strict=True))
         self.used += total
 
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which hashes are pieces, where row i of h holds strings of len(h) - i characters: length - 1, column, place in `keys`."""
+        slots = (h ^ (h >> np.uint64(32))) * _WEYL
+        slots >>= np.uint64(64 - TABLE_BITS)
+        slots = slots.view(np.int64)
+        row, at = np.divmod(np.flatnonzero(self.taken.take(slots)), h.shape[1])
+        k, own = self.first[slots[row, at]], h[row, at]
+        for _ in range(self.run - 1):  # keys of one slot stand next to each other
+            k += self.keys[k] != own
+        row = len(h) - 1 - row
+        hit = (self.keys[k] == own) & (self.lengths[k] == row + 1)
+        return row[hit], at[hit], k[hit]
+
     def _ends(self, units: list[str]) -> np.ndarray:
-        got = list(map(self.end.get, units))
-        if None in got:
-            missing = {u for u, e in zip(units, got, strict=True) if e is None}
-            if self.used > NODES:
-                self._forget()
-                missing = set(units)
-            self.learn(list(missing))
-            got = list(map(self.end.get, units))
-        return np.array(got, np.int64)
+        def known() -> np.ndarray:
+            return np.fromiter(map(self.end.get, units, repeat(-1)), np.int64, len(units))
+
+        got = known()
+        new = np.flatnonzero(got < 0).tolist()
+        if new and self.used > NODES:
+            self._forget()
+            self.learn(list(set(units)))
+            return known()
+        if new:
+            missing = [units[i] for i in new]
+            self.learn(list(set(missing)))
+            got[new] = list(map(self.end.__getitem__, missing))
+        return got
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """One array of ids per text, drawn by (seed, key, place)."""
