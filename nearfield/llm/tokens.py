@@ -3,8 +3,8 @@
 The vocabulary's pre-tokenizer starts a new token at every space that follows a character other than white space,
 whatever comes before. So a text falls into pieces at those spaces, each piece has its own ids, and a word met
 again needs no new encoding. Pieces of plain letters, digits, punctuation and single line feeds are split here;
-all others by the library's own pre-tokenizer. Memory is bounded: a full cache ages into a second generation,
-which the next full one replaces.
+all others by the library's own pre-tokenizer. Memory is bounded: what doesn't fit a full cache goes to
+a smaller one, which starts anew when it is full and replaces the full one where texts have changed.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 _BREAK = re.compile(r"(?<=\S) ")
 #: Runs that the pre-tokenizer keeps whole. Letters up to U+00FF only: their class is the same in every Unicode version.
 _RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
-#: Entries in each generation of a cache, and the longest piece that is remembered.
+#: Half the entries of a cache, and the longest piece that is remembered.
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 and up.
@@ -38,17 +38,30 @@ class _Unsplit(Exception):
 
 
 class _Ageing:
-    """A dict of two generations."""
+    """Two dicts of 2 * most entries together: `now` takes three quarters, the first met and so the frequent ones; `new` takes
+    the others and starts anew when it is full. Asked so often that `now` must be of other texts, `new` takes its place."""
 
     def __init__(self, most: int) -> None:
-        self.most = most
+        self.most, self.asked = most, 0
         self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+
+    def later(self, key: str) -> bytes | None:
+        """What `new` holds of a key that isn't in `now`."""
+        got = self.new.get(key)
+        if got is not None:
+            self.asked += 1
+            if self.asked > 4 * self.most:
+                self.now, self.new, self.asked = self.new, {}, 0
+        return got
 
     def put(self, key: str, value: bytes) -> bytes:
-        if len(self.now) >= self.most:
-            self.old, self.now = self.now, {}
-        self.now[key] = value
+        if len(self.now) < self.most + self.most // 2:
+            self.now[key] = value
+        else:
+            if len(self.new) >= max(1, self.most // 2):
+                self.new, self.asked = {}, 0
+            self.new[key] = value
         return value
 
 
@@ -68,7 +81,7 @@ class WordCachedBPE:
         return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        got = self.units.now.get(unit) or self.units.old.get(unit)
+        got = self.units.now.get(unit) or self.units.later(unit)
         if got is None:
             got = self._ids(unit[1:] if unit[:1] == "\0" else _form(unit))
             if len(unit) <= CACHE_CHARS:
@@ -86,20 +99,21 @@ class WordCachedBPE:
         """Ids of a space and word; the first run takes the space. Words that end with white space, or none, are never
         remembered, so an inner one gets here wherever it is met."""
         words = self.words
-        got = words.old.get(word)
-        if got is None:
-            if not word or word[-1].isspace():
-                if inner:
-                    raise _Unsplit
-                return self._piece(f" {word}")
-            runs = [word] if word.isascii() and word.isalpha() else _RUN.findall(word)
-            if len(runs) == 1 and len(runs[0]) == len(word) and word != "\n":
-                got = self._ids("Ġ" + (word if word.isascii() else _form(word)))
-            elif runs and len("".join(runs)) == len(word) and runs[0] != "\n" and "\n\n" not in word:
-                first = runs[0]
-                got = (words.now.get(first) or self._word(first)) + b"".join([self._unit(u) for u in runs[1:]])
-            else:
-                got = self._piece(f" {word}")
+        got = words.later(word)
+        if got is not None:
+            return got
+        if not word or word[-1].isspace():
+            if inner:
+                raise _Unsplit
+            return self._piece(f" {word}")
+        runs = [word] if word.isascii() and word.isalpha() else _RUN.findall(word)
+        if len(runs) == 1 and len(runs[0]) == len(word) and word != "\n":
+            got = self._ids("Ġ" + (word if word.isascii() else _form(word)))
+        elif runs and len("".join(runs)) == len(word) and runs[0] != "\n" and "\n\n" not in word:
+            first = runs[0]
+            got = (words.now.get(first) or self._word(first)) + b"".join([self._unit(u) for u in runs[1:]])
+        else:
+            got = self._piece(f" {word}")
         return words.put(word, got) if len(word) <= CACHE_CHARS else got
 
     def encode(self, text: str) -> bytes:
