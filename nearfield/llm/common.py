@@ -42,15 +42,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/nearfield/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd", most: int | None = None) -> DataFrame:
+def files_of(most: int) -> int:
+    """Files for at most so many rows of a few numbers."""
+    return max(1, -(-most // FILE_ROWS))
+
+
+def staged(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd", most: int | None = None, dealt: bool = False) -> DataFrame:
     """Write df to the shared folder and reread it: lineage ends there, and a lost executor costs only its own tasks.
 
-    most: df, which comes from a shuffle, has at most so many rows, of a few numbers; FILE_ROWS of them make a file. Else a
+    most: df, which comes from a shuffle, has at most so many rows, of a few numbers; FILE_ROWS of them make a file. dealt: df
+    comes from work that all its tasks are to share, and its rows are shuffled to those files. Else a
     small table has a file for each shuffle partition, and on a local file system without Hadoop's native library an
     executor starts a process (chmod) several times a file, each of which counts as large as the JVM until it runs."""
     path = scratch_path(df.sparkSession, name)
     if most is not None:
-        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
+        df = df.repartition(files_of(most)) if dealt else df.coalesce(files_of(most))
     writer = df.write.option("compression", codec)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -114,7 +120,7 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def ascii_lower(text: Column) -> Column:
+def ascii_lower(text: str | Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(text, UPPER, UPPER.lower())
 

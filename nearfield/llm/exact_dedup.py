@@ -16,13 +16,14 @@ an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, bounded_batches, free_names, small, staged, whole
+from nearfield.llm.common import ascii_lower, bounded_batches, files_of, free_names, small, staged, whole
 
 #: Moduli and bases of the two hashes.
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -62,19 +63,32 @@ def combine(left: tuple[int, int], right: tuple[int, int], right_bytes: int) ->
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text (UTF-8, not normalised yet) to _HASHED; sha: of text, for rows that bring none."""
     for batch in batches:
-        rows = []
+        names = [n for n in batch.schema.names if n != "text"]
+        rows, shas = [], []
         for text in batch.column("text").to_pylist():
-            data = text.encode()
+            data = text.lower()  # of bytes: A-Z only
+            if "sha" not in names:
+                shas.append(sha256(data).digest())
             rows.append((len(data), *chunk_hash(data), *(pow(b, len(data), m) for b, m in zip(BASES, MODULI, strict=True))))
-        kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-        made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        yield pa.RecordBatch.from_arrays(kept + made, names=[n for n in batch.schema.names if n != "text"] + ["n_bytes", "h1", "h2", "s1", "s2"])
+        made = [batch.column(n) for n in names] + [pa.array(shas, pa.binary())] * ("sha" not in names)
+        made += [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+        yield pa.RecordBatch.from_arrays(made, names=names + ["sha"] * ("sha" not in names) + ["n_bytes", "h1", "h2", "s1", "s2"])
 
 
 _HASHED = "n_bytes long, h1 long, h2 long, s1 long, s2 long"
 
 
+def _valid(text_col: str) -> Column:
+    return F.make_valid_utf8(whole(text_col))
+
+
+def _sha(text: Column) -> Column:
+    """The normalised text's, in the JVM: it makes an object of each character, so for few texts."""
+    return F.unhex(F.sha2(ascii_lower(text), 256))
+
+
 def _chunks(text: Column, size: int) -> Column:
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("no"), F.substring(text, i * size + 1, F.lit(size)).alias("text")))
@@ -83,12 +97,12 @@ def _chunks(text: Column, size: int) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, fp (62 bits), sha (of the normalised text, names it in later joins)."""
     bounded_batches(docs.sparkSession)
-    norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(whole(text_col)).alias("text"))
-    norm = norm.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    near = norm.where(F.length("text") <= HUGE_CHARS).mapInArrow(_hash_rows, f"doc_id long, sha binary, {_HASHED}")
-    huge = norm.where(F.length("text") > HUGE_CHARS).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _valid(text_col).alias("text"))
+    near = rows.where(F.length("text") <= HUGE_CHARS).select("doc_id", F.col("text").cast("binary").alias("text"))
+    near = near.mapInArrow(_hash_rows, f"doc_id long, sha binary, {_HASHED}")
+    huge = rows.where(F.length("text") > HUGE_CHARS).withColumns({"sha": _sha(F.col("text")), "row": F.monotonically_increasing_id()})
     pieces = huge.select("doc_id", "sha", "row", F.explode(_chunks(F.col("text"), HUGE_CHARS)).alias("c"))
-    pieces = pieces.select("doc_id", "sha", "row", "c.no", "c.text").repartition("row", "no")
+    pieces = pieces.select("doc_id", "sha", "row", "c.no", F.col("c.text").cast("binary").alias("text")).repartition("row", "no")
     hashed = pieces.mapInArrow(_hash_rows, f"doc_id long, sha binary, row long, no int, {_HASHED}")
     parts = F.array_sort(F.collect_list(F.struct("no", "h1", "h2", "s1", "s2")))
     far = hashed.groupBy("row", "doc_id", "sha").agg(F.sum("n_bytes").alias("n_bytes"), parts.alias("p"))
@@ -142,20 +156,24 @@ def _distinct_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def collisions(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(fp, n_bytes, sha, class_no >= 1) of texts that share a fingerprint and length with another, different text.
+    """prints to (fp, n_bytes, sha, class_no >= 1) of texts that share a fingerprint and length with another, different text.
 
     A group's members are dealt over ceil(size / FAN_IN) salts and compared with the first of their salt; the
     distinct texts that remain go to the next level, with FAN_IN times fewer salts, until a group has one salt.
     """
     groups = prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("size")).where("size > 1")
-    groups = staged(groups, "print-groups")
+    n = prints.count()
+    groups = staged(groups, "print-groups", most=n)
     most = groups.agg(F.max("size")).first()[0] or 0
-    members = staged(prints.join(small(groups), ["fp", "n_bytes"]).select("fp", "n_bytes", "size", "doc_id", "sha").distinct(), "members")
-    text = docs.select(F.col(id_col).cast("long").alias("d"), ascii_lower(whole(text_col)).alias("text"))
+    members = staged(prints.join(small(groups), ["fp", "n_bytes"]).select("fp", "n_bytes", "size", "doc_id", "sha").distinct(), "members", most=n)
+    text = docs.select(F.col(id_col).cast("long").alias("d"), _valid(text_col).alias("text"))
     level = 1
     while True:
-        at = small(members)
-        rows = text.withColumn("s", F.unhex(F.sha2("text", 256))).join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("sha")))
+        at, rows = small(members), text
+        if at is not members:  # few: texts of other ids are not looked at; a plain = below would hash them to see that no hash is null
+            asked = F.broadcast(members.select(F.col("doc_id").alias("asked")).distinct())
+            rows = rows.join(asked, F.col("d").eqNullSafe(F.col("asked")), "left_semi")
+        rows = rows.withColumn("text", ascii_lower("text")).withColumn("s", F.unhex(F.sha2("text", 256))).join(at, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("sha")))
         rows = rows.withColumn("copy", F.monotonically_increasing_id())
         salts = F.ceil(F.col("size") / float(FAN_IN**level))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), salts)).select(
@@ -163,7 +181,7 @@ def collisions(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_
         )
         rows = rows.select("fp", "n_bytes", "salt", "doc_id", "sha", "copy", "c.no", "c.text").repartition("fp", "n_bytes", "salt")
         rows = rows.sortWithinPartitions("fp", "n_bytes", "salt", "doc_id", "sha", "copy", "no")
-        left = staged(rows.mapInArrow(_compare, "fp long, n_bytes long, salt long, doc_id long, sha binary, class_no int"), "distinct-texts")
+        left = staged(rows.mapInArrow(_compare, "fp long, n_bytes long, salt long, doc_id long, sha binary, class_no int"), "distinct-texts", most=n, dealt=True)
         if most <= FAN_IN**level:
             return left.where("class_no > 0").select("fp", "n_bytes", "sha", "class_no").dropDuplicates(["fp", "n_bytes", "sha"])
         members = staged(left.join(small(groups), ["fp", "n_bytes"]).select("fp", "n_bytes", "size", "doc_id", "sha"), "members")
@@ -172,7 +190,8 @@ def collisions(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, sha, n_bytes, fp."""
-    prints = staged(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "prints")
+    n = docs.count()
+    prints = staged(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "prints", most=n, dealt=True)
     differ = collisions(docs, prints, id_col, text_col)
     if differ.isEmpty():
         prints = prints.withColumn("class_no", F.lit(0))
@@ -188,17 +207,24 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
         "sha", "n_bytes", "fp",
-    )
+    ).coalesce(files_of(n))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns."""
     told = staged(decisions(docs, id_col, text_col).select("doc_id", "sha", "kept"), "exact-decisions")
-    d, h, away, gone_h = free_names(docs.columns, "id", "sha", "gone_id", "gone_sha")
-    keyed = docs.withColumns({d: F.col(id_col).cast("long"), h: F.unhex(F.sha2(ascii_lower(whole(text_col)), 256))})
+    d, h, away, gone_h, asked, met = free_names(docs.columns, "id", "sha", "gone_id", "gone_sha", "asked_id", "met")
     gone = told.where("not kept").select(F.col("doc_id").alias(away), F.col("sha").alias(gone_h)).distinct()
+    few, sha = small(gone), _sha(_valid(text_col))
+    keyed = docs.withColumn(d, F.col(id_col).cast("long"))
+    if few is not gone:  # few: texts of other ids stay unhashed, and match none
+        ids = F.broadcast(gone.select(F.col(away).alias(asked), F.lit(True).alias(met)).distinct())
+        keyed = keyed.join(ids, F.col(d).eqNullSafe(F.col(asked)), "left").drop(asked)
+        keyed = keyed.withColumn(h, F.when(F.col(met), sha)).drop(met)
+    else:
+        keyed = keyed.withColumn(h, sha)
     same = F.col(d).eqNullSafe(F.col(away)) & (F.col(h) == F.col(gone_h))
-    rows = keyed.join(small(gone), same, "left_anti")
+    rows = keyed.join(few, same, "left_anti")
     # Rows that repeat both text and doc_id of the one that stays: they are in `gone` too, and one of them comes back.
     twice = told.groupBy("doc_id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept and n > 1")
     twice = twice.select(F.col("doc_id").alias(away), F.col("sha").alias(gone_h))

@@ -1,10 +1,12 @@
 """Small tables of the shared folder have few files, however many partitions a shuffle has."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from nearfield.llm import common, components, simhash
+from nearfield.llm import common, components, exact_dedup, simhash
 
 
 @pytest.fixture
@@ -54,3 +56,24 @@ def test_rows_beyond_a_file_are_shared_out(spark, monkeypatch, many_partitions):
     out = common.staged(rows, "some", most=100)
     assert out.count() == 100
     assert 1 < len(list(Path(out.staged_path.removeprefix("file:")).glob("part-*"))) <= 10
+
+
+def test_exact_dedup_writes_small_tables_to_few_files(spark, monkeypatch):
+    """Whatever number of tasks reads the texts: each file is given its rights by processes that count as large as the JVM."""
+    files, staged = {}, exact_dedup.staged
+
+    def counted(df, name, **how):
+        out = staged(df, name, **how)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "staged", counted)
+    texts = [f"Some Text {i % 40}, ÄÉ" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    out = exact_dedup.decisions(docs)
+    assert out.select(F.spark_partition_id()).distinct().count() == 1 and set(files.values()) == {1} and "prints" in files
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], bytes(r["sha"])) for r in out.collect()}
+    for i, t in enumerate(texts):
+        same = [k for k in range(60) if k % 40 == i % 40]
+        normal = "".join(c.lower() if c.isascii() else c for c in t)
+        assert got[i] == (same[-1], len(same), i == same[-1], hashlib.sha256(normal.encode()).digest())
