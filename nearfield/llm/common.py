@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +104,25 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
+def give_back() -> None:
+    """Give the system back what this Python worker holds and doesn't use: Arrow's pool and the C library keep it until asked."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that does so behind each task: workers live on, all idle ones in turn, beside other work."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        give_back()
+
+    return run
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names behind a prefix that no column has, in upper or lower case."""
     prefix = "__nf_"

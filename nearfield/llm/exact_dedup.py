@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, bounded_batches, files_of, free_names, small, staged, whole
+from nearfield.llm.common import ascii_lower, bounded_batches, files_of, free_names, giving_back, small, staged, whole
 
 #: Moduli and bases of the two hashes.
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -99,11 +99,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _valid(text_col).alias("text"))
     near = rows.where(F.length("text") <= HUGE_CHARS).select("doc_id", F.col("text").cast("binary").alias("text"))
-    near = near.mapInArrow(_hash_rows, f"doc_id long, sha binary, {_HASHED}")
+    near = near.mapInArrow(giving_back(_hash_rows), f"doc_id long, sha binary, {_HASHED}")
     huge = rows.where(F.length("text") > HUGE_CHARS).withColumns({"sha": _sha(F.col("text")), "row": F.monotonically_increasing_id()})
     pieces = huge.select("doc_id", "sha", "row", F.explode(_chunks(F.col("text"), HUGE_CHARS)).alias("c"))
     pieces = pieces.select("doc_id", "sha", "row", "c.no", F.col("c.text").cast("binary").alias("text")).repartition("row", "no")
-    hashed = pieces.mapInArrow(_hash_rows, f"doc_id long, sha binary, row long, no int, {_HASHED}")
+    hashed = pieces.mapInArrow(giving_back(_hash_rows), f"doc_id long, sha binary, row long, no int, {_HASHED}")
     parts = F.array_sort(F.collect_list(F.struct("no", "h1", "h2", "s1", "s2")))
     far = hashed.groupBy("row", "doc_id", "sha").agg(F.sum("n_bytes").alias("n_bytes"), parts.alias("p"))
     fold = [F.expr(f"aggregate(p, 0L, (a, x) -> (a * x.s{k} + x.h{k}) % {m}L)").alias(f"h{k}") for k, m in enumerate(MODULI, 1)]
@@ -181,7 +181,7 @@ def collisions(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_
         )
         rows = rows.select("fp", "n_bytes", "salt", "doc_id", "sha", "copy", "c.no", "c.text").repartition("fp", "n_bytes", "salt")
         rows = rows.sortWithinPartitions("fp", "n_bytes", "salt", "doc_id", "sha", "copy", "no")
-        left = staged(rows.mapInArrow(_compare, "fp long, n_bytes long, salt long, doc_id long, sha binary, class_no int"), "distinct-texts", most=n, dealt=True)
+        left = staged(rows.mapInArrow(giving_back(_compare), "fp long, n_bytes long, salt long, doc_id long, sha binary, class_no int"), "distinct-texts", most=n, dealt=True)
         if most <= FAN_IN**level:
             return left.where("class_no > 0").select("fp", "n_bytes", "sha", "class_no").dropDuplicates(["fp", "n_bytes", "sha"])
         members = staged(left.join(small(groups), ["fp", "n_bytes"]).select("fp", "n_bytes", "size", "doc_id", "sha"), "members")

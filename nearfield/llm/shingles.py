@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, discard, small, staged, whole, word_blocks
+from nearfield.llm.common import bounded_batches, discard, giving_back, small, staged, whole, word_blocks
 from nearfield.llm.components import connected_components
 from nearfield.llm.simhash import stay_of_parts, text_hashes, without
 
@@ -140,7 +140,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     bounded_batches(docs.sparkSession)
     t1, t2 = text_hashes(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), whole(text_col).alias("text"))
-    rows = staged(texts.mapInArrow(_sketch_rows(words), "doc_id long, t1 long, t2 long, sh long, keys array<long>"), "shingle-keys")
+    rows = staged(texts.mapInArrow(giving_back(_sketch_rows(words)), "doc_id long, t1 long, t2 long, sh long, keys array<long>"), "shingle-keys")
 
     row = F.struct("doc_id", "t1", "t2")
     nodes = rows.groupBy("sh").agg(F.min_by(F.struct("doc_id", "t1", "t2", "keys"), row).alias("x"))
@@ -150,12 +150,13 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     asked = members.select("sh", F.col("doc_id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))
     again = texts.join(small(asked), same).select("sh", "text")
-    sets = staged(again.mapInArrow(_set_rows(words), "sh long, grams binary").dropDuplicates(["sh"]), "shingle-sets")
+    sets = staged(again.mapInArrow(giving_back(_set_rows(words)), "sh long, grams binary").dropDuplicates(["sh"]), "shingle-sets")
     grouped = members.select("key", "sh").join(sets, "sh").repartition("key").sortWithinPartitions("key")
-    parts = connected_components(grouped.mapInArrow(_link_rows(similarity), "u long, v long"))
+    parts = connected_components(grouped.mapInArrow(giving_back(_link_rows(similarity)), "u long, v long"))
 
     named = rows.select("doc_id", "t1", "t2", "sh").join(parts.select(F.col("node").alias("sh"), "component"), "sh", "left")
     gone = staged(stay_of_parts(named.select("doc_id", "t1", "t2", F.coalesce("component", "sh").alias("part"))), "shingle-gone")
+    left = without(docs, gone, rows, id_col, text_col)
     for used in (rows, listed, members, sets):
         discard(used)
-    return without(docs, gone, id_col, text_col)
+    return left

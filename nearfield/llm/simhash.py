@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, free_names, small, staged, whole, word_blocks
+from nearfield.llm.common import bounded_batches, free_names, giving_back, small, staged, whole, word_blocks
 from nearfield.llm.components import connected_components, with_least
 
 #: Posting lists above this size are linked by masks instead of pairs.
@@ -204,14 +204,15 @@ def stay_of_parts(named: DataFrame) -> DataFrame:
     return gone.select("row.doc_id", "row.t1", "row.t2").distinct()
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without the rows whose id and text are in gone (doc_id, t1, t2); rows that repeat both id and text count once."""
+def without(docs: DataFrame, gone: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and text are in gone (doc_id, t1, t2); rows that repeat both id and text count once.
+    named: staged, has these three of each row of docs, so that no text is read to see whether some repeat."""
     i, a, b, gi, ga, gb = free_names(docs.columns, "id", "t1", "t2", "gone_id", "gone_t1", "gone_t2")
     t1, t2 = text_hashes(text_col)
     keyed = docs.withColumns({i: F.col(id_col).cast("long"), a: t1, b: t2})
     same = F.col(i).eqNullSafe(F.col(gi)) & (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb))
     left = keyed.join(small(gone.toDF(gi, ga, gb)), same, "left_anti")
-    twice = keyed.groupBy(i, a, b).agg(F.count("*").alias("n")).where("n > 1")
+    twice = named.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():
         left = left.dropDuplicates([i, a, b])
     return left.drop(i, a, b)
@@ -223,6 +224,6 @@ def deduplicated(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "
     bounded_batches(docs.sparkSession)
     t1, t2 = text_hashes(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), whole(text_col).alias("text"))
-    prints = staged(texts.mapInArrow(_print_rows(words, ("doc_id", "t1", "t2")), "doc_id long, t1 long, t2 long, fp long"), "simhash")
+    prints = staged(texts.mapInArrow(giving_back(_print_rows(words, ("doc_id", "t1", "t2"))), "doc_id long, t1 long, t2 long, fp long"), "simhash", most=docs.count(), dealt=True)
     named = prints.join(classes(prints.select("doc_id", "fp"), bits).select("fp", "part"), "fp").select("doc_id", "t1", "t2", "part")
-    return without(docs, staged(stay_of_parts(named), "near-dups"), id_col, text_col)
+    return without(docs, staged(stay_of_parts(named), "near-dups"), prints, id_col, text_col)

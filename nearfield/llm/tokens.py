@@ -9,12 +9,11 @@ a smaller one, which starts anew when it is full and replaces the full one where
 
 from __future__ import annotations
 
-import ctypes
 import re
 from array import array
 from codecs import charmap_decode
 
-import pyarrow as pa
+from nearfield.llm.common import give_back
 
 _BREAK = re.compile(r"(?<=\S) ")
 #: Runs that the pre-tokenizer keeps whole. Letters up to U+00FF only: their class is the same in every Unicode version.
@@ -148,10 +147,7 @@ def forget() -> None:
     ones in turn: what they remember adds up behind other work."""
     if _LOADED:
         _LOADED.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory until asked
-        if trim is not None:
-            trim(0)
+        give_back()
 
 
 def default_path() -> str:

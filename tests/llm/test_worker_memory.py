@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from nearfield.llm import packing, token_output, tokens
+from nearfield.llm import common, exact_dedup, packing, shingles, simhash, token_output, tokens
 
 
 class _Rows:
@@ -38,3 +38,33 @@ def test_coding_blocks_gives_words_back():
         tokens.bpe(tokens.default_path()).encode("some words")
         assert list(rows(iter([]))) == []
         assert not tokens._LOADED
+
+
+def test_dedup_gives_memory_back_behind_a_task(spark, monkeypatch):
+    """All text work of the dedup stages: their workers live on beside packing's."""
+    docs = spark.createDataFrame([(i, f"some words that are here {i % 3} times and more of them") for i in range(9)], "doc_id long, text string")
+    runs, given, kind = {}, [], type(docs)
+    real = kind.mapInArrow
+
+    def noted(self, run, schema, *more, **named):
+        runs[run.__qualname__] = run
+        return real(self, run, schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    for module in (exact_dedup, simhash, shingles):
+        assert module.deduplicated(docs).count() <= 3
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    names = ["_hash_rows", "_compare", "_print_rows", "_sketch_rows", "_set_rows"]
+    for name in names:
+        before, (run,) = len(given), [r for q, r in runs.items() if q.startswith(name)]
+        list(run(iter([])))
+        assert len(given) == before + 1, name
+
+
+def test_no_text_is_read_to_look_for_repeated_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "others are here"), (None, "x"), (None, "x")], "doc_id long, text string").repartition(2)
+    seen, real = [], simhash.without
+    monkeypatch.setattr(simhash, "without", lambda d, gone, named, *more: (seen.append(named), real(d, gone, named, *more))[1])
+    rows = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.deduplicated(docs).collect())
+    assert rows == [(0, "x"), (1, "a b c d"), (2, "others are here")]
+    assert hasattr(seen[0], "staged_path") and "text" not in seen[0].columns and seen[0].count() == 5
